@@ -89,8 +89,7 @@ def rows_in_days(tx: DataFrame) -> DataFrame:
 
 def violations_text(df: DataFrame) -> DataFrame:
     """Each failing row with the names of its rules."""
-    checked = validation.validate(df).filter(F.size("violations") > 0)
-    return checked.select(
+    return validation.failing_rows(df).select(
         "transaction_id", "timestamp", F.array_join(F.array_sort("violations"), ",").alias("reasons")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -209,6 +210,22 @@ def validate(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame
     )
 
 
+def failing_rows(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame:
+    """Rows that break a rule.
+
+    The observation counts the rows on the way, for the query listener. It also keeps the
+    filter behind the check: pushed below, the filter would evaluate every rule a second
+    time and outgrow the methods that the JVM compiles.
+    """
+    failing = F.size("violations") > 0
+    checked = validate(df, extra_rules).observe(
+        f"row-check-{uuid.uuid4().hex}",
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(failing).alias("failing_rows"),
+    )
+    return checked.filter(failing)
+
+
 def row_validation(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame:
     """One row: valid_count, invalid_count, is_valid."""
     rows = payload(df)
@@ -239,8 +256,8 @@ def failing_samples(
     For Parquet files the position in the file is ``_metadata.file_path`` and
     ``_metadata.row_index``; pass them as additional columns of ``order``.
     """
-    text = F.concat_ws(",", "violations").alias("reasons")
-    failing = validate(df).filter(F.size("violations") > 0).select(*order, text)
+    text = F.array_join(F.array_sort("violations"), ",").alias("reasons")
+    failing = failing_rows(df).select(*order, text)
     return failing.orderBy(*[F.asc_nulls_last(name) for name in order], "reasons").limit(max_errors)
 
 
