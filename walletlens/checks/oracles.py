@@ -260,13 +260,14 @@ _MIX_DRIFT = f"""SELECT mix, value, coalesce(n, 0) AS n, coalesce(share, 0.0) AS
 FROM (SELECT *, {_percent('n', 'sum(n) OVER (PARTITION BY mix)')} AS share FROM ({_MIX_COUNTS}))
 FULL JOIN (SELECT * FROM (VALUES {_EXPECTED}) AS t(mix, value, expected_share)) USING (mix, value)"""
 
-_SEASONAL = f"""SELECT tx_date, round_even(w, 4) AS weight, round_even(w / total, 6) AS expected_share,
-  round_even(sum(w) OVER (ORDER BY tx_date) / total, 6) AS running_share, coalesce(n, 0) AS observed_rows,
-  {_ratio('coalesce(n, 0)', 'w / total * sum(coalesce(n, 0)) OVER ()')} AS observed_to_expected
-FROM (SELECT *, sum(w) OVER () AS total FROM (
-  SELECT tx_date, (CASE WHEN {_SEASON} THEN 2.5 ELSE 1.0 END)::DOUBLE * (CASE WHEN {_SALARY} THEN 1.8 ELSE 1.0 END)::DOUBLE AS w
-  FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS tx_date)))
-LEFT JOIN ({_DAILY}) USING (tx_date)"""
+_SEASONAL = f"""SELECT tx_date, w::DOUBLE AS weight, round_even(w::DOUBLE / total, 6) AS expected_share,
+  round_even(running::DOUBLE / total, 6) AS running_share, n AS observed_rows,
+  {_ratio('n * total', 'w::DOUBLE * sum(n) OVER ()')} AS observed_to_expected
+FROM (SELECT tx_date, w, running, total, coalesce(n, 0) AS n FROM (
+  SELECT tx_date, w, sum(w) OVER (ORDER BY tx_date) AS running, CAST(sum(w) OVER () AS DOUBLE) AS total FROM (
+    SELECT tx_date, CAST((CASE WHEN {_SEASON} THEN 2.5 ELSE 1.0 END) * (CASE WHEN {_SALARY} THEN 1.8 ELSE 1.0 END) AS DECIMAL(6,2)) AS w
+    FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS tx_date)))
+  LEFT JOIN ({_DAILY}) USING (tx_date))"""
 
 _RANGES = ", ".join(
     f"('{key}', {low}::DECIMAL(18,2), {high}::DECIMAL(18,2))" for key, (low, high) in dimensions.AMOUNT_RANGES.items()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from walletlens import functions as fn
 from walletlens.operators import behaviour, detectors, labels, profile, validation
 from walletlens.plans import report
-from walletlens.plans.session import prepare
+from walletlens.plans.session import prepare, prepare_stream
 from walletlens.sources import files
 from walletlens.sources.event_log import (
     LOG_FIRST_DAY,
@@ -45,7 +45,7 @@ def _on_raw(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _events_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = prepare(spark).read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
+    schema = prepare_stream(spark).read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 

@@ -88,19 +88,19 @@ def seasonal_expectation(
     transactions.
     """
     days = dimensions.calendar(tx.sparkSession, first, last, seasons)
-    total = days.agg(F.sum("weight")).scalar()
     upto = Window.orderBy("tx_date").rowsBetween(Window.unboundedPreceding, 0)
     expected = days.withColumn("running_weight", F.sum("weight").over(upto))
-    joined = expected.join(daily_counts(tx), "tx_date", "left")
-    observed = F.coalesce("n", F.lit(0))
-    observed_total = F.sum(observed).over(Window.partitionBy())
+    joined = expected.join(daily_counts(tx), "tx_date", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = Window.partitionBy()
+    weight, running = F.col("weight").cast("double"), F.col("running_weight").cast("double")
+    total, rows = F.sum("weight").over(whole).cast("double"), F.sum("n").over(whole)
     return joined.select(
         "tx_date",
-        F.bround("weight", 4).alias("weight"),
-        F.bround(F.col("weight") / total, 6).alias("expected_share"),
-        F.bround(F.col("running_weight") / total, 6).alias("running_share"),
-        observed.alias("observed_rows"),
-        guarded_ratio(observed, F.col("weight") / total * observed_total).alias("observed_to_expected"),
+        weight.alias("weight"),
+        F.bround(weight / total, 6).alias("expected_share"),
+        F.bround(running / total, 6).alias("running_share"),
+        F.col("n").alias("observed_rows"),
+        guarded_ratio(F.col("n") * total, weight * rows).alias("observed_to_expected"),
     )
 
 

@@ -48,10 +48,14 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: dic
     for fraction in wanted.values():
         for at in (F.floor(rank(fraction)), F.ceil(rank(fraction))):
             holds = holds | ((at >= start) & (at < F.col("upto")))
-    kept = totals.filter(holds).select(*keys, "class", start.alias("start"), "all_n")
+    kept = totals.filter(holds).select(
+        *[F.col(name).alias(f"kept_{name}") for name in [*keys, "class"]], start.alias("start"), "all_n"
+    )
 
     in_class = Window.partitionBy(*keys, "class").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.join(kept, [*keys, "class"]) if keys else values.join(kept, "class")
+    # Null-safe: a null group stays, and both sides read the same counts, so these are made once.
+    same = [F.col(name).eqNullSafe(F.col(f"kept_{name}")) for name in [*keys, "class"]]
+    ranked = values.join(kept, same)
     ranked = ranked.withColumn("last", F.col("start") + F.sum("n").over(in_class) - 1)
     ranked = ranked.withColumn("first", F.col("last") - F.col("n") + 1)
 
@@ -65,7 +69,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: dic
             value_at(F.ceil(rank(fraction))).alias(f"{name}__high"),
             F.max(rank(fraction) - F.floor(rank(fraction))).alias(f"{name}__part"),
         ]
-    picked = ranked.groupBy(*keys).agg(*picks) if keys else ranked.agg(*picks)
+    picked = ranked.groupBy(*keys).agg(*picks)
     return picked.select(
         *keys,
         *[

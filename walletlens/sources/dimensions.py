@@ -117,8 +117,9 @@ def amount_ranges(
 def calendar(
     spark: SparkSession, first: str, last: str, seasons: Sequence[Season] = DEFAULT_SEASONS
 ) -> DataFrame:
-    """One row per day with its weight: season weight times salary weight."""
+    """One row per day with its weight: season weight times salary weight, as an exact decimal."""
     days = spark.range(1).select(
         F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("tx_date")
     )
-    return days.withColumn("weight", season_weight(F.col("tx_date"), seasons) * salary_weight(F.col("tx_date")))
+    weight = season_weight(F.col("tx_date"), seasons) * salary_weight(F.col("tx_date"))
+    return days.withColumn("weight", weight.cast("decimal(6,2)"))

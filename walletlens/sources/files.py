@@ -19,10 +19,13 @@ def format_of(path: str, format: str | None = None) -> str:
     return chosen
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV; every cell stays text and extra columns are kept."""
-    options = {"header": True, "escape": '"', "multiLine": False, "encoding": "UTF-8"}
-    return spark.read.options(**options).option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV; every cell stays text and extra columns are kept.
+
+    ``multi_line`` is for cells with line breaks; such a file cannot be split.
+    """
+    options = {"header": True, "escape": '"', "encoding": "UTF-8", "inferSchema": False}
+    return spark.read.options(**options).option("multiLine", multi_line).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
@@ -84,23 +87,16 @@ def write_parquet(
 ) -> str:
     """Typed Parquet. ``by_date`` adds a ``tx_date`` folder per day for partition pruning.
 
-    Rows are sent to their day and, within it, to one of several tasks chosen by a hash of
-    the id, so a busy day is not one task and a day does not become one file per task.
+    The rebalance hint brings the rows of a day together, splits a day that is too large
+    for one task, and joins days that are small, so no day is one task and none becomes
+    one file per task.
     """
     rows = df.select(*contract.COLUMNS)
     if not by_date:
         rows.write.mode(mode).parquet(path)
         return path
-    spread = F.pmod(F.xxhash64("transaction_id", "timestamp"), F.lit(16))
-    (
-        rows.withColumn("tx_date", F.to_date("timestamp"))
-        .withColumn("spread", spread)
-        .repartition("tx_date", "spread")
-        .drop("spread")
-        .write.mode(mode)
-        .partitionBy("tx_date")
-        .parquet(path)
-    )
+    dated = rows.withColumn("tx_date", F.to_date("timestamp"))
+    dated.hint("rebalance", "tx_date").write.mode(mode).partitionBy("tx_date").parquet(path)
     return path
 
 
