@@ -219,16 +219,20 @@ def validate(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame
 
 
 def observed(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame:
-    """``validate`` with an observation of rows and failing rows for the query listener.
+    """``validate`` with an observation of rows, failing rows and empty cells.
 
-    The observation also keeps later filters and counts behind the check. Merged into it,
-    they would evaluate every rule a second time, or outgrow the methods that the JVM
-    compiles, which costs more than four times the run time.
+    A query listener receives the three numbers. The observation also keeps later filters
+    and counts behind the check: merged into it, they would evaluate every rule a second
+    time, or outgrow the methods that the JVM compiles, which costs four times the run
+    time. The count of empty cells uses every column, and Spark moves the check into a
+    method of its own only when all columns are used again behind it.
     """
+    empty = sum((F.col(name).isNull().cast("int") for name in contract.COLUMNS), F.lit(0))
     return validate(df, extra_rules).observe(
         f"row-check-{uuid.uuid4().hex}",
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.size("violations") > 0).alias("failing_rows"),
+        F.sum(empty).alias("empty_cells"),
     )
 
 
