@@ -200,17 +200,11 @@ def fee_rule(tx: DataFrame) -> DataFrame:
     least = amount * F.lit(LEAST_FEE_RATE).cast("decimal(4,3)") - half_cent
     greatest = amount * F.lit(GREATEST_FEE_RATE).cast("decimal(4,3)") + half_cent
     free = F.col("transaction_type").isin(*FREE_TYPES)
-    verdict = (
-        F.when(free & (fees != 0), "NOT_FREE")
-        .when(free | ((F.col("status") == "FAILED") & (fees == 0)), None)
-        .when(fees < least, "TOO_LOW")
-        .when(fees > greatest, "TOO_HIGH")
-    )
-    return (
-        tx.withColumn("verdict", verdict)
-        .filter(F.col("verdict").isNotNull())
-        .select("transaction_id", "transaction_type", "status", "amount", "fees", "verdict")
-    )
+    waived = (F.col("status") == "FAILED") & (fees == 0)
+    broken = F.when(free, fees != 0).otherwise(~waived & ~fees.between(least, greatest))
+    verdict = F.when(free, "NOT_FREE").when(fees < least, "TOO_LOW").otherwise("TOO_HIGH")
+    columns = ["transaction_id", "transaction_type", "status", "amount", "fees"]
+    return tx.filter(broken).select(*columns, verdict.alias("verdict"))
 
 
 def fee_rate_profile(tx: DataFrame) -> DataFrame:
