@@ -15,7 +15,7 @@ from walletlens.functions.calendar import (
     tx_date,
     utc_timestamp,
 )
-from walletlens.functions.money import fee_rate, guarded_ratio, money, percent
+from walletlens.functions.money import fee_rate, guarded_ratio, half_even, money, percent
 from walletlens.functions.text import (
     account_id,
     blank_to_null,
@@ -35,6 +35,7 @@ __all__ = [
     "day_of_month",
     "fee_rate",
     "guarded_ratio",
+    "half_even",
     "in_capital",
     "in_capital_by_prefix",
     "in_day_range",

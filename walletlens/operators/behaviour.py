@@ -12,6 +12,7 @@ from walletlens.functions import (
     Season,
     fee_rate,
     guarded_ratio,
+    half_even,
     in_season,
     is_diaspora_weekend,
     is_rural,
@@ -75,7 +76,7 @@ def mix_drift(tx: DataFrame, mixes: Mapping[str, Mapping[str, float]] = dimensio
         F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("share", F.lit(0.0)).alias("observed_share"),
         F.coalesce("expected_share", F.lit(0.0)).alias("expected_share"),
-        F.bround(F.coalesce("share", F.lit(0.0)) - F.coalesce("expected_share", F.lit(0.0)), 2).alias("difference"),
+        half_even(F.coalesce("share", F.lit(0.0)) - F.coalesce("expected_share", F.lit(0.0)), 2).alias("difference"),
     )
 
 
@@ -97,8 +98,8 @@ def seasonal_expectation(
     return joined.select(
         "tx_date",
         weight.alias("weight"),
-        F.bround(weight / total, 6).alias("expected_share"),
-        F.bround(running / total, 6).alias("running_share"),
+        half_even(weight / total, 6).alias("expected_share"),
+        half_even(running / total, 6).alias("running_share"),
         F.col("n").alias("observed_rows"),
         guarded_ratio(F.col("n") * total, weight * rows).alias("observed_to_expected"),
     )
@@ -372,7 +373,7 @@ def diaspora_flow(tx: DataFrame) -> DataFrame:
         "amount",
         percent(F.col("n"), total).alias("share"),
         percent(abroad, total).alias("abroad_share"),
-        F.bround(expected, 2).alias("expected_abroad_share"),
+        half_even(expected, 2).alias("expected_abroad_share"),
     )
 
 

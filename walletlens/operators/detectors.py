@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from walletlens import contract
+from walletlens.functions import half_even
 from walletlens.operators.behaviour import _most_frequent, with_range
 from walletlens.operators.quantiles import exact_quantiles
 from walletlens.operators.rolling import (
@@ -226,7 +227,7 @@ def operator_outage(tx: DataFrame, limits: Outage = Outage()) -> DataFrame:
             F.count_if(failed & (F.col("fees") == 0)).alias("failed_without_fees"),
         )
     )
-    rate = F.bround(F.col("failed") / F.col("n") * 100, 2)
+    rate = half_even(F.col("failed") / F.col("n") * 100, 2)
     return counted.withColumn("failure_rate", rate).withColumn(
         "outage", (F.col("failure_rate") >= limits.least_rate) & (F.col("n") >= limits.least_rows)
     )

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from walletlens import contract
+from walletlens.functions import half_even
 from walletlens.operators import detectors as d
 from walletlens.operators.rolling import with_second
 from walletlens.sources.work import settle
@@ -77,7 +78,7 @@ def label_scorecard(labelled: DataFrame) -> DataFrame:
     )
 
     def ratio(divisor):
-        return F.coalesce(F.bround(F.col("hits") / F.nullif(divisor, F.lit(0)), 4), F.lit(0.0))
+        return F.coalesce(half_even(F.col("hits") / F.nullif(divisor, F.lit(0)), 4), F.lit(0.0))
 
     return scores.select(
         "label",

@@ -14,6 +14,7 @@ from walletlens.functions import (
     DEFAULT_SEASONS,
     Season,
     guarded_ratio,
+    half_even,
     in_capital,
     in_capital_by_prefix,
     in_port,
@@ -87,7 +88,7 @@ def _geo(df: DataFrame, capital: Column) -> DataFrame:
 
 def geo_summary(df: DataFrame) -> DataFrame:
     """Capital, port and other regions in percent; the rest is taken from the rounded values."""
-    rest = F.bround(F.lit(100.0) - F.col("capital_percent") - F.col("port_percent"), 2)
+    rest = half_even(F.lit(100.0) - F.col("capital_percent") - F.col("port_percent"), 2)
     return _geo(df, in_capital(F.col("sender_wilaya"))).select(
         "capital_percent",
         "port_percent",

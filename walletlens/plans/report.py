@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from walletlens.functions import (
     DEFAULT_SEASONS,
     Season,
+    half_even,
     in_capital,
     in_capital_by_prefix,
     in_port,
@@ -74,7 +75,7 @@ def report_from_sets(sets: DataFrame, seasons: Sequence[Season] = DEFAULT_SEASON
         percent(F.col("port"), F.col("total")).alias("port_percent"),
         percent(F.col("anomaly_count"), F.col("total")).alias("anomaly_percent"),
     )
-    rest = F.bround(F.lit(100.0) - F.col("capital_percent") - F.col("port_percent"), 2)
+    rest = half_even(F.lit(100.0) - F.col("capital_percent") - F.col("port_percent"), 2)
     days = _days(sets)
     return {
         "channel_share": _shares(sets, "channel").orderBy(*by_count),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from walletlens.functions import half_even
 from walletlens.operators.detectors import (
     HighFrequency,
     Outage,
@@ -57,7 +58,7 @@ def stream_outage(tx: DataFrame, limits: Outage = Outage(), lateness: str = LATE
         F.count_if(failed).alias("failed"),
         F.count_if(failed & (F.col("fees") == 0)).alias("failed_without_fees"),
     )
-    rate = F.bround(F.col("failed") / F.col("n") * 100, 2)
+    rate = half_even(F.col("failed") / F.col("n") * 100, 2)
     return counted.select(
         "operator",
         *_bounds(),
