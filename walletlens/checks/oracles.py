@@ -64,28 +64,26 @@ tx AS (SELECT * EXCLUDE (i) FROM tx_i)"""
 _RAW = _EVENTS + """,
 raw AS (
   SELECT
-    CASE WHEN i % 233 = 0 THEN NULL ELSE transaction_id END AS transaction_id,
-    CASE WHEN i % 211 = 5 THEN stamp WHEN i % 223 = 5 THEN stamp || '+01:00' WHEN i % 227 = 5 THEN 'not a date'
-         WHEN i % 229 = 5 THEN NULL WHEN i % 3 = 0 THEN stamp || 'Z' ELSE stamp || '+00:00' END AS "timestamp",
-    CASE WHEN i % 239 = 0 THEN 'ACC_0001' WHEN i % 241 = 0 THEN 'ACC_00001' || chr(10) ELSE sender_id END AS sender_id,
-    CASE WHEN i % 367 = 0 THEN NULL ELSE receiver_id END AS receiver_id,
-    CASE WHEN i % 251 = 0 THEN 'abc' WHEN i % 257 = 0 THEN '-5.00' WHEN i % 263 = 0 THEN '1.005'
-         ELSE CAST(amount AS VARCHAR) END AS amount,
+    CASE p WHEN 5 THEN NULL ELSE transaction_id END AS transaction_id,
+    CASE WHEN p = 1 THEN stamp WHEN p = 2 THEN stamp || '+01:00' WHEN p = 3 THEN 'not a date' WHEN p = 4 THEN NULL
+         WHEN p % 3 = 0 THEN stamp || 'Z' ELSE stamp || '+00:00' END AS "timestamp",
+    CASE p WHEN 6 THEN 'ACC_0001' WHEN 7 THEN 'ACC_00001' || chr(10) ELSE sender_id END AS sender_id,
+    CASE p WHEN 8 THEN NULL ELSE receiver_id END AS receiver_id,
+    CASE p WHEN 9 THEN 'abc' WHEN 10 THEN '-5.00' WHEN 11 THEN '1.005' ELSE CAST(amount AS VARCHAR) END AS amount,
     currency,
-    CASE WHEN i % 347 = 0 THEN 'GIFT' ELSE transaction_type END AS transaction_type,
-    CASE WHEN i % 337 = 0 THEN 'WEB' ELSE channel END AS channel,
-    CASE WHEN i % 317 = 0 THEN 'Nope' ELSE operator END AS operator,
-    CASE WHEN i % 313 = 0 THEN NULL ELSE sender_wilaya END AS sender_wilaya,
-    CASE WHEN i % 311 = 0 THEN 'Atlantis' ELSE receiver_wilaya END AS receiver_wilaya,
-    CASE WHEN i % 331 = 0 THEN 'DONE' ELSE status END AS status,
-    CASE WHEN i % 269 = 0 THEN '-1' WHEN i % 271 = 0 THEN '0.001' WHEN i % 277 = 0 THEN NULL
-         ELSE CAST(fees AS VARCHAR) END AS fees,
-    CASE WHEN i % 281 = 0 THEN 'maybe' ELSE CAST(is_ramadan AS VARCHAR) END AS is_ramadan,
-    CASE WHEN i % 293 = 0 THEN 'ACME' ELSE bill_provider END AS bill_provider,
-    CASE WHEN i % 283 = 0 THEN 'fr' ELSE origin_country END AS origin_country,
-    CASE WHEN i % 353 = 0 THEN 'perhaps' ELSE CAST(is_anomaly AS VARCHAR) END AS is_anomaly,
-    CASE WHEN i % 349 = 0 THEN 'ODD' ELSE anomaly_type END AS anomaly_type
-  FROM (SELECT *, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM tx_i)
+    CASE p WHEN 12 THEN 'GIFT' ELSE transaction_type END AS transaction_type,
+    CASE p WHEN 13 THEN 'WEB' ELSE channel END AS channel,
+    CASE p WHEN 14 THEN 'Nope' ELSE operator END AS operator,
+    CASE p WHEN 15 THEN NULL ELSE sender_wilaya END AS sender_wilaya,
+    CASE p WHEN 16 THEN 'Atlantis' ELSE receiver_wilaya END AS receiver_wilaya,
+    CASE p WHEN 17 THEN 'DONE' ELSE status END AS status,
+    CASE p WHEN 18 THEN '-1' WHEN 19 THEN '0.001' WHEN 20 THEN NULL ELSE CAST(fees AS VARCHAR) END AS fees,
+    CASE p WHEN 21 THEN 'maybe' ELSE CAST(is_ramadan AS VARCHAR) END AS is_ramadan,
+    CASE p WHEN 22 THEN 'ACME' ELSE bill_provider END AS bill_provider,
+    CASE p WHEN 23 THEN 'fr' ELSE origin_country END AS origin_country,
+    CASE p WHEN 24 THEN 'perhaps' ELSE CAST(is_anomaly AS VARCHAR) END AS is_anomaly,
+    CASE p WHEN 25 THEN 'ODD' WHEN 26 THEN 'STRUCTURING' ELSE anomaly_type END AS anomaly_type
+  FROM (SELECT *, i % 251 AS p, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM tx_i)
 )"""
 
 _STAMP_OK = r"""regexp_full_match("timestamp", '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+(Z|[+-]\d\d:\d\d)?')"""

@@ -97,41 +97,45 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
 
 
 def raw_text_from_events(events: DataFrame) -> DataFrame:
-    """The same rows as a text source would give them, with defects at known places."""
-    i = F.col("event_id")
+    """The same rows as a text source would give them, with one defect in some of them.
+
+    The place of a row in a cycle of 251 decides its defect.
+    """
+    place = F.col("event_id") % 251
     text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
-    def defect(column: str, *cases: tuple[int, str | None]) -> Column:
+    def cell(column: str, *cases: tuple[int, str | None]) -> Column:
         result = F.col(column).cast("string")
-        for step, bad in reversed(cases):
-            result = F.when(i % step == 0, F.lit(bad).cast("string")).otherwise(result)
+        for at, bad in reversed(cases):
+            result = F.when(F.col("place") == at, F.lit(bad).cast("string")).otherwise(result)
         return result.alias(column)
 
-    return _mapped(events).select(
-        defect("transaction_id", (233, "  ")),
-        F.when(i % 211 == 5, text)
-        .when(i % 223 == 5, F.concat(text, F.lit("+01:00")))
-        .when(i % 227 == 5, F.lit("not a date"))
-        .when(i % 229 == 5, F.lit(""))
-        .when(i % 3 == 0, F.concat(text, F.lit("Z")))
-        .otherwise(F.concat(text, F.lit("+00:00")))
-        .alias("timestamp"),
-        defect("sender_id", (239, "ACC_0001"), (241, "ACC_00001\n")),
-        defect("receiver_id", (367, None)),
-        defect("amount", (251, "abc"), (257, "-5.00"), (263, "1.005")),
-        defect("currency"),
-        defect("transaction_type", (347, "GIFT")),
-        defect("channel", (337, "WEB")),
-        defect("operator", (317, "Nope")),
-        defect("sender_wilaya", (313, " ")),
-        defect("receiver_wilaya", (311, "Atlantis")),
-        defect("status", (331, "DONE")),
-        defect("fees", (269, "-1"), (271, "0.001"), (277, "")),
-        defect("is_ramadan", (281, "maybe")),
-        defect("bill_provider", (293, "ACME")),
-        defect("origin_country", (283, "fr")),
-        defect("is_anomaly", (353, "perhaps")),
-        defect("anomaly_type", (349, "ODD")),
+    offset = (
+        F.when(F.col("place") == 1, "")
+        .when(F.col("place") == 2, "+01:00")
+        .when(F.col("place") % 3 == 0, "Z")
+        .otherwise("+00:00")
+    )
+    stamp = F.when(F.col("place") == 3, "not a date").when(F.col("place") == 4, "").otherwise(F.concat(text, offset))
+    return _mapped(events).withColumn("place", place).select(
+        cell("transaction_id", (5, "  ")),
+        stamp.alias("timestamp"),
+        cell("sender_id", (6, "ACC_0001"), (7, "ACC_00001\n")),
+        cell("receiver_id", (8, None)),
+        cell("amount", (9, "abc"), (10, "-5.00"), (11, "1.005")),
+        cell("currency"),
+        cell("transaction_type", (12, "GIFT")),
+        cell("channel", (13, "WEB")),
+        cell("operator", (14, "Nope")),
+        cell("sender_wilaya", (15, " ")),
+        cell("receiver_wilaya", (16, "Atlantis")),
+        cell("status", (17, "DONE")),
+        cell("fees", (18, "-1"), (19, "0.001"), (20, "")),
+        cell("is_ramadan", (21, "maybe")),
+        cell("bill_provider", (22, "ACME")),
+        cell("origin_country", (23, "fr")),
+        cell("is_anomaly", (24, "perhaps")),
+        cell("anomaly_type", (25, "ODD"), (26, "STRUCTURING")),
     )
 
 

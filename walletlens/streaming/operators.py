@@ -127,7 +127,7 @@ def stream_tontine_estimate(
         tx.filter(transfers()), lateness
     )
     circles = rows.groupBy(F.window("timestamp", length, slide).alias("frame"), "receiver_id", "amount").agg(
-        F.approx_count_distinct("sender_id", 0.01).alias("members")
+        F.approx_count_distinct("sender_id", 0.02).alias("members")
     )
     return circles.filter(F.col("members") >= limits.least_members).select(
         "receiver_id", "amount", *_bounds(), "members"
