@@ -66,7 +66,7 @@ raw AS (
   SELECT
     CASE p WHEN 5 THEN NULL ELSE transaction_id END AS transaction_id,
     CASE WHEN p = 1 THEN stamp WHEN p = 2 THEN stamp || '+01:00' WHEN p = 3 THEN 'not a date' WHEN p = 4 THEN NULL
-         WHEN p % 3 = 0 THEN stamp || 'Z' ELSE stamp || '+00:00' END AS "timestamp",
+         WHEN p > 125 THEN stamp || 'Z' ELSE stamp || '+00:00' END AS "timestamp",
     CASE p WHEN 6 THEN 'ACC_0001' WHEN 7 THEN 'ACC_00001' || chr(10) ELSE sender_id END AS sender_id,
     CASE p WHEN 8 THEN NULL ELSE receiver_id END AS receiver_id,
     CASE p WHEN 9 THEN 'abc' WHEN 10 THEN '-5.00' WHEN 11 THEN '1.005' ELSE CAST(amount AS VARCHAR) END AS amount,
@@ -82,7 +82,7 @@ raw AS (
     CASE p WHEN 22 THEN 'ACME' ELSE bill_provider END AS bill_provider,
     CASE p WHEN 23 THEN 'fr' ELSE origin_country END AS origin_country,
     CASE p WHEN 24 THEN 'perhaps' ELSE CAST(is_anomaly AS VARCHAR) END AS is_anomaly,
-    CASE p WHEN 25 THEN 'ODD' WHEN 26 THEN 'STRUCTURING' ELSE anomaly_type END AS anomaly_type
+    CASE p WHEN 25 THEN 'ODD' ELSE anomaly_type END AS anomaly_type
   FROM (SELECT *, i % 251 AS p, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM tx_i)
 )"""
 

@@ -6,6 +6,8 @@ so column pruning and filters reach the scan of the events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from walletlens import contract
@@ -101,7 +103,7 @@ def raw_text_from_events(events: DataFrame) -> DataFrame:
 
     The place of a row in a cycle of 251 decides its defect.
     """
-    place = F.col("event_id") % 251
+    place = (F.col("event_id") % 251).cast("int")
     text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
     def cell(column: str, *cases: tuple[int, str | None]) -> Column:
@@ -113,11 +115,14 @@ def raw_text_from_events(events: DataFrame) -> DataFrame:
     offset = (
         F.when(F.col("place") == 1, "")
         .when(F.col("place") == 2, "+01:00")
-        .when(F.col("place") % 3 == 0, "Z")
+        .when(F.col("place") > 125, "Z")
         .otherwise("+00:00")
     )
     stamp = F.when(F.col("place") == 3, "not a date").when(F.col("place") == 4, "").otherwise(F.concat(text, offset))
-    return _mapped(events).withColumn("place", place).select(
+    # Observed rows are counted for the query listener, and the two projections are compiled
+    # as two methods; in one they outgrow what the JVM compiles.
+    mapped = _mapped(events).observe(f"mapped-events-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    return mapped.withColumn("place", place).select(
         cell("transaction_id", (5, "  ")),
         stamp.alias("timestamp"),
         cell("sender_id", (6, "ACC_0001"), (7, "ACC_00001\n")),
@@ -135,7 +140,7 @@ def raw_text_from_events(events: DataFrame) -> DataFrame:
         cell("bill_provider", (22, "ACME")),
         cell("origin_country", (23, "fr")),
         cell("is_anomaly", (24, "perhaps")),
-        cell("anomaly_type", (25, "ODD"), (26, "STRUCTURING")),
+        cell("anomaly_type", (25, "ODD")),
     )
 
 
