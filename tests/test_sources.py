@@ -78,6 +78,7 @@ def test_every_layout_reads_the_same(spark, tmp_path):
         files.read_transactions(spark, array, json_array=True),
         files.read_transactions(spark, blank, json_array=True),
         files.read_transactions(spark, lines),
+        files.read_transactions(spark, lines, columns=contract.COLUMNS),
         files.read_transactions(spark, text_parquet),
     ]
     expected = found(v.canonical(csv), *contract.COLUMNS)

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from walletlens import functions as fn
+from walletlens import contract, functions as fn
 from walletlens.operators import behaviour, detectors, labels, profile, validation
 from walletlens.plans import report
 from walletlens.plans.session import prepare, prepare_stream
@@ -45,8 +45,10 @@ def _on_raw(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _events_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = prepare_stream(spark).read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    path = f"{folder.rstrip('/')}/events.parquet"
+    schema = prepare_stream(spark).read.parquet(path).schema
+    # As a pattern the path may be one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(path[:-1] + "[t]")
 
 
 def _on_stream(run: Callable[[DataFrame], DataFrame], raw: bool = False) -> Query:
@@ -294,6 +296,6 @@ def all_queries() -> dict[str, Query]:
     found["stream_validate"] = _on_stream(quarantine_stream)
     found["text_stream_validate"] = _on_stream(quarantine_stream, raw=True)
     found["csv_round_trip"] = _round_trip(".csv")
-    found["json_round_trip"] = _round_trip(".json")
+    found["json_round_trip"] = _round_trip(".json", columns=contract.COLUMNS)
     found["parquet_round_trip"] = _round_trip(".parquet")
     return {name: _named(query, name) for name, query in found.items()}

@@ -163,13 +163,14 @@ def channel_mix_by_region_class(tx: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- amounts and fees
 
 
-def range_key() -> Column:
+def range_key(ranges: Mapping[str, tuple[str, str]] = dimensions.AMOUNT_RANGES) -> Column:
     """Key of the usual range: the provider of a bill, the diaspora, or the type."""
     kind, provider = F.col("transaction_type"), F.col("bill_provider")
-    known = [key.split("/")[1] for key in dimensions.AMOUNT_RANGES if key.startswith("BILL_PAY/")]
+    providers = [key.removeprefix("BILL_PAY/") for key in ranges if key.startswith("BILL_PAY/")]
+    abroad = F.lit("CASH_IN/DIASPORA" in ranges) & (kind == "CASH_IN") & F.col("origin_country").isNotNull()
     return (
-        F.when((kind == "BILL_PAY") & provider.isin(*known), F.concat(F.lit("BILL_PAY/"), provider))
-        .when((kind == "CASH_IN") & F.col("origin_country").isNotNull(), F.lit("CASH_IN/DIASPORA"))
+        F.when((kind == "BILL_PAY") & provider.isin(*providers), F.concat(F.lit("BILL_PAY/"), provider))
+        .when(abroad, F.lit("CASH_IN/DIASPORA"))
         .otherwise(kind)
     )
 
@@ -177,7 +178,7 @@ def range_key() -> Column:
 def with_range(tx: DataFrame, ranges: Mapping[str, tuple[str, str]] = dimensions.AMOUNT_RANGES) -> DataFrame:
     """Add ``low`` and ``high``, the usual range of the row. The table has one row per key."""
     table = F.broadcast(dimensions.amount_ranges(tx.sparkSession, ranges))
-    return tx.withColumn("range_key", range_key()).join(table, "range_key", "left")
+    return tx.withColumn("range_key", range_key(ranges)).join(table, "range_key", "left")
 
 
 def amount_range(tx: DataFrame, ranges: Mapping[str, tuple[str, str]] = dimensions.AMOUNT_RANGES) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from walletlens import contract
 
@@ -28,17 +29,19 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return spark.read.options(**options).option("multiLine", multi_line).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """One object per line, or with ``array`` one array per file.
+def read_json(
+    spark: SparkSession, path: str, array: bool = False, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """One object per line, or with ``array`` one array per file; every value as its text.
 
-    A file with an array cannot be split, so a large one should be rewritten as lines or
-    Parquet before it is queried. Numbers are kept as the text that the file has.
+    Without ``columns`` Spark reads all data once more to find the columns. Large sources
+    should name them; a named column that no object has is then null, not missing. A file
+    with an array cannot be split and should be rewritten as lines or Parquet first.
     """
-    return (
-        spark.read.option("multiLine", array)
-        .option("primitivesAsString", True)
-        .json(path)
-    )
+    reader = spark.read.option("multiLine", array)
+    if columns is None:
+        return reader.option("primitivesAsString", True).json(path)
+    return reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns])).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +49,18 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transactions(
-    spark: SparkSession, path: str, format: str | None = None, json_array: bool = False
+    spark: SparkSession,
+    path: str,
+    format: str | None = None,
+    json_array: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Read by format. A missing path is an error of the reader."""
     chosen = format_of(path, format)
     if chosen == "csv":
         return read_csv(spark, path)
     if chosen == "json":
-        return read_json(spark, path, array=json_array)
+        return read_json(spark, path, json_array, columns)
     return read_parquet(spark, path)
 
 
