@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +23,15 @@ def work_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="walletlens-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        folder = _own_folder()
     return folder
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="walletlens-")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder that no other run uses."""
     return f"{work_folder(spark).rstrip('/')}/walletlens/{label}-{uuid.uuid4().hex}"
