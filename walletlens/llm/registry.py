@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from walletlens.llm.line_dedup import OP8_SQL, op8_site_spread_lines
+from walletlens.llm.minhash_dedup import op6_tensored_minhash
+from walletlens.llm.mixing import op10_temperature_mixing
 from walletlens.llm.packing import op1_best_two_fit
+from walletlens.llm.quality_rules import op7_hashed_ngram_quality
+from walletlens.llm.sharding import op3_bounded_ring
+from walletlens.llm.substring_dedup import op5_gear_chunk_passages
 from walletlens.llm.token_counts import op9_whole_token_shortcut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
+    "op3_bounded_ring": op3_bounded_ring,
+    "op5_gear_chunk_passages": op5_gear_chunk_passages,
+    "op6_tensored_minhash": op6_tensored_minhash,
+    "op7_hashed_ngram_quality": op7_hashed_ngram_quality,
+    "op8_site_spread_lines": op8_site_spread_lines,
     "op9_whole_token_shortcut": op9_whole_token_shortcut,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_site_spread_lines": OP8_SQL}
