@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from walletlens.llm.capture_index import OP4_SQL, op4_merged_capture_index
 from walletlens.llm.line_dedup import OP8_SQL, op8_site_spread_lines
 from walletlens.llm.minhash_dedup import op6_tensored_minhash
 from walletlens.llm.mixing import op10_temperature_mixing
@@ -14,10 +15,13 @@ from walletlens.llm.quality_rules import op7_hashed_ngram_quality
 from walletlens.llm.sharding import op3_bounded_ring
 from walletlens.llm.substring_dedup import op5_gear_chunk_passages
 from walletlens.llm.token_counts import op9_whole_token_shortcut
+from walletlens.llm.vector_search import op2_multiprobe_p_stable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
+    "op2_multiprobe_p_stable": op2_multiprobe_p_stable,
     "op3_bounded_ring": op3_bounded_ring,
+    "op4_merged_capture_index": op4_merged_capture_index,
     "op5_gear_chunk_passages": op5_gear_chunk_passages,
     "op6_tensored_minhash": op6_tensored_minhash,
     "op7_hashed_ngram_quality": op7_hashed_ngram_quality,
@@ -26,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_temperature_mixing": op10_temperature_mixing,
 }
 
-SQL: dict[str, str] = {"op8_site_spread_lines": OP8_SQL}
+SQL: dict[str, str] = {"op4_merged_capture_index": OP4_SQL, "op8_site_spread_lines": OP8_SQL}
