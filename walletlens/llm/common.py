@@ -81,6 +81,11 @@ def settled_with_key(df: DataFrame, label: str) -> DataFrame:
     return take(settle(df, label), *df.columns, key=True)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def words(column: str | Column) -> Column:
     """Words of a text: stretches of bytes other than blank and tab to carriage return."""
     text = F.col(column) if isinstance(column, str) else column

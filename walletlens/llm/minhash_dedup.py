@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from walletlens.llm.common import ROW_KEY, stored, table, take, union_all
+from walletlens.llm.common import ROW_KEY, growing, stored, table, take, union_all
 from walletlens.sources.work import settle
 
 SHINGLE = 5
@@ -144,13 +144,13 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """
     single = nodes.select("digest", F.posexplode("keys").alias("at", "key"))
     shared = single.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "key")
-    halves = single.join(shared, ["at", "key"]).groupBy("digest").agg(
+    halves = single.join(growing(shared), ["at", "key"]).groupBy("digest").agg(
         F.collect_list(F.when(F.col("at") < HALVES, F.struct("at", "key"))).alias("left"),
         F.collect_list(F.when(F.col("at") >= HALVES, F.struct("at", "key"))).alias("right"),
     )
     paired = settle(
         halves.where((F.size("left") > 0) & (F.size("right") > 0)).join(
-            nodes.select("digest", "n_shingles", "marks"), "digest"
+            growing(nodes.select("digest", "n_shingles", "marks")), "digest"
         ),
         "near-halves",
     )
@@ -202,17 +202,17 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "
     """The pairs whose full sets are similar enough; texts of their nodes only are read again."""
     pairs = settle(pairs, "near-pairs")
     wanted = union_all([pairs.select(F.col(name).alias("digest")) for name in ("one", "other")]).distinct()
-    places = settle(nodes.select("digest", *ROW_KEY).join(wanted, "digest"), "near-places")
+    places = settle(nodes.select("digest", *ROW_KEY).join(growing(wanted), "digest"), "near-places")
     texts = settle(
         take(docs, text, key=True)
         .select(F.col(text).cast("binary").alias("text"), *ROW_KEY)
-        .join(places, ROW_KEY)
+        .join(growing(places), ROW_KEY)
         .select("digest", "text"),
         "near-texts",
     )
-    both = pairs.join(texts.select(F.col("digest").alias("one"), F.col("text").alias("text_one")), "one").join(
-        texts.select(F.col("digest").alias("other"), F.col("text").alias("text_other")), "other"
-    )
+    first = texts.select(F.col("digest").alias("one"), F.col("text").alias("text_one"))
+    second = texts.select(F.col("digest").alias("other"), F.col("text").alias("text_other"))
+    both = pairs.join(growing(first), "one").join(growing(second), "other")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,17 +240,17 @@ def components(links: DataFrame) -> DataFrame:
     labels = labels.select("node", F.least("node", "label").alias("label"))
     while True:
         around = (
-            ends.join(labels.select(F.col("node").alias("other"), "label"), "other")
+            ends.join(growing(labels.select(F.col("node").alias("other"), "label")), "other")
             .groupBy(F.col("one").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        lower = labels.join(around, "node").select(
+        lower = labels.join(growing(around), "node").select(
             "node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")
         )
         lower = settle(lower, "near-labels")
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("upper"))
         labels = settle(
-            lower.join(up, "label").select("node", F.least("label", "upper").alias("label"), "changed"), "near-labels"
+            lower.join(growing(up), "label").select("node", F.least("label", "upper").alias("label"), "changed"), "near-labels"
         )
         if labels.where("changed").isEmpty():
             return labels.select("node", "label")
@@ -275,13 +275,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     labels = components(links)
     place = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
     firsts = filled.groupBy("digest").agg(F.min(place).alias("first"))
-    labelled = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
+    labelled = firsts.join(growing(labels.withColumnRenamed("node", "digest")), "digest", "left").select(
         "digest", "first", F.coalesce("label", "digest").alias("label")
     )
     labelled = settle(labelled, "near-labelled")
     best = labelled.groupBy("label").agg(F.min("first").alias("best"))
-    whole = settle(labelled.join(best, "label").select("digest", "best"), "near-components")
-    linked = filled.join(whole, "digest").select(
+    whole = settle(labelled.join(growing(best), "label").select("digest", "best"), "near-components")
+    linked = filled.join(growing(whole), "digest").select(
         "id", "n_shingles", F.col("best.id").alias("component_id"),
         ((F.col("best._file") == F.col("_file")) & (F.col("best._index") == F.col("_index"))).alias("first_row"),
         *ROW_KEY,
@@ -298,7 +298,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", id_column: str
     kept = stored(docs, "near")
     firsts = near_duplicates(kept, text, id_column).where("first_row").select(*ROW_KEY)
     plain = [f"d{place}" for place in range(len(names))]
-    return take(kept.toDF(*plain), *plain, key=True).join(firsts, ROW_KEY).drop(*ROW_KEY).toDF(*names)
+    return take(kept.toDF(*plain), *plain, key=True).join(growing(firsts), ROW_KEY).drop(*ROW_KEY).toDF(*names)
 
 
 def op6_tensored_minhash(spark, folder: str) -> DataFrame:
