@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from walletlens.llm.common import ROW_KEY, stored, table, take, union_all
+from walletlens.llm.common import ROW_KEY, growing, stored, table, take, union_all
 from walletlens.sources.work import settle
 
 # A passage has this many words at least.
@@ -151,13 +151,13 @@ def repeated_passages(
     chunks = filled.select(*ROW_KEY, body).mapInArrow(
         _chunks, "_file long, _index long, chunk long, check long, place long, start long, end long"
     )
-    again = settle(chunks.join(shared, "chunk"), "chunks-again")
+    again = settle(chunks.join(growing(shared), "chunk"), "chunks-again")
     ids = settle(plain.select(F.col(id_column).alias("id"), *ROW_KEY), "chunks-ids")
-    known = settle(again.join(ids, ROW_KEY), "chunks-known")
+    known = settle(again.join(growing(ids), ROW_KEY), "chunks-known")
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY, "start")
     firsts = known.groupBy("chunk", "check").agg(F.min(order).alias("first"))
     later = (
-        known.join(firsts, ["chunk", "check"])
+        known.join(growing(firsts), ["chunk", "check"])
         .where((F.col("first._file") != F.col("_file")) | (F.col("first._index") != F.col("_index")))
         .withColumn("shift", F.col("first.start") - F.col("start"))
         .select(*ROW_KEY, "place", "start", "end", F.col("first._file").alias("first_file"),
@@ -181,14 +181,14 @@ def repeated_passages(
         [pairs.select(*ROW_KEY), pairs.select(F.col("first_file").alias("_file"), F.col("first_index").alias("_index"))]
     ).distinct()
     texts = settle(
-        plain.select(F.col(id_column).alias("id"), body, *ROW_KEY).join(settle(wanted, "chunks-wanted"), ROW_KEY),
+        plain.select(F.col(id_column).alias("id"), body, *ROW_KEY).join(growing(wanted), ROW_KEY),
         "chunks-texts",
     )
     first_texts = texts.select(
         F.col("_file").alias("first_file"), F.col("_index").alias("first_index"),
         F.col("id").alias("first_id"), F.col("text").alias("first_text"),
     )
-    both = pairs.join(texts, ROW_KEY).join(first_texts, ["first_file", "first_index"])
+    both = pairs.join(growing(texts), ROW_KEY).join(growing(first_texts), ["first_file", "first_index"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
