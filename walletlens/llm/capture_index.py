@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from walletlens.llm import archive_files as files
-from walletlens.llm.common import ROW_KEY, stored, table, take
+from walletlens.llm.common import ROW_KEY, growing, stored, table, take
 from walletlens.sources.work import new_folder, settle
 
 MIN_BYTES = 0
@@ -72,7 +72,7 @@ def archived(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, captured
     )
     groups = revisits(plain, min_bytes)
     first = F.when(F.octet_length("payload") >= min_bytes, F.col("first"))
-    rows = plain.withColumn("digest", F.sha1("payload")).join(groups, "digest", "left").select(
+    rows = plain.withColumn("digest", F.sha1("payload")).join(growing(groups), "digest", "left").select(
         F.col("page_id").cast("string").alias("page"), "url", F.date_format(moment, "yyyyMMddHHmmss").alias("time"),
         "payload", *ROW_KEY, first["_file"].alias("first_file"), first["_index"].alias("first_index"),
         first["page_id"].cast("string").alias("first_page"),
