@@ -24,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that spread over many sites."""
-    return without_spread_lines(docs)
+    """Documents without the lines that spread over many sites; n_chars is that of the rest."""
+    rest = without_spread_lines(docs)
+    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

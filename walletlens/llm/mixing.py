@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from walletlens.llm.common import ROW_KEY, stored, table, take
+from walletlens.llm.common import ROW_KEY, growing, stored, table, take
 from walletlens.sources.work import settle
 
 ENTROPY = 0.9
@@ -188,7 +188,7 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     names = kept.columns
     keyed = take(kept.toDF(*[f"d{place}" for place in range(len(names))]),
                  *[f"d{place}" for place in range(len(names))], key=True)
-    return keyed.join(chosen, ROW_KEY).drop(*ROW_KEY).toDF(*names)
+    return keyed.join(growing(chosen), ROW_KEY).drop(*ROW_KEY).toDF(*names)
 
 
 def op10_temperature_mixing(spark, folder: str) -> DataFrame:

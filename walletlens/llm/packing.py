@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from walletlens.llm.common import numbered, settled_with_key, table, take
+from walletlens.llm.common import ROW_KEY, numbered, settled_with_key, table, take
 from walletlens.llm.token_counts import PACKED, vocabulary_path, word_tokens
 
 CAPACITY = 2048
@@ -158,19 +158,20 @@ def placements(steps: list[tuple[int, list[int]]], capacity: int = CAPACITY) ->
 
 
 def pack(cut_up: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to pieces; every further column is carried along.
+    """Adds sequence_id and offset to pieces; every further column is carried along, except for
+    columns of these names and of the row key.
 
     A piece is at most ``capacity`` long and at least 1; others are an error. Offsets of a
     sequence are gapless from 0. The pieces are written once, as they are read twice.
     """
-    settled = settled_with_key(cut_up, "pieces")
+    settled = settled_with_key(cut_up.drop("sequence_id", "offset", "_number", *ROW_KEY), "pieces")
     counts = {row[0]: row[1] for row in settled.groupBy(length).agg(F.count(F.lit(1))).collect()}
     if any(value is None or not 1 <= value <= capacity for value in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     where = placements(plan_bins(counts, capacity), capacity)
     most = max(counts.values(), default=0) + 1
     starts = where["length"] * most + where["first"]
-    ranked = numbered(settled, [length], "_number").drop("_file", "_index")
+    ranked = numbered(settled, [length], "_number").drop(*ROW_KEY)
     names = [name for name in ranked.columns if name != "_number"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,9 +126,12 @@ def assigned(rows: DataFrame, key: list[str], shards: int = SHARDS, slack: float
     A null key is a key. Repeated keys and rows share a cell and may be split between shards when
     one is full. ``slack`` is how far a shard may exceed the mean, 0 for counts at most one apart;
     more slack moves fewer rows when a shard comes in. An empty table stays empty.
-    The rows are written once, as they are read three times; give narrow ones.
+    The rows are written once, as they are read three times; give narrow ones. Columns that are
+    called shard, slot, cell, ranges or begin with an underscore are replaced or dropped.
     """
     spark = rows.sparkSession
+    own = {"shard", "slot", "cell", "ranges"}
+    rows = rows.select(*[F.col(f"`{name}`") for name in rows.columns if name not in own and name[:1] != "_"])
     cell = F.pmod(F.xxhash64(F.lit("key"), *[F.col(f"`{name}`") for name in key]), F.lit(CELLS))
     settled = settled_with_key(rows.withColumn("_cell", cell), "shards")
     counts = settled.groupBy(F.col("_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
