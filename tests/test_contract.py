@@ -147,3 +147,10 @@ def test_duplicates_and_season_flag(spark):
     rows = typed_rows(spark, {"transaction_id": "A"}, {"transaction_id": "A"}, {"is_ramadan": True})
     assert [tuple(row) for row in v.duplicate_ids(rows).collect()] == [("A", 2)]
     assert v.season_flag_mismatches(rows).first().transaction_id == "T0002"
+
+
+def test_scale_is_judged_on_the_whole_text(spark):
+    cells = {"1.0000000000000000001": True, "1.10": False, "1.100000": False, "1.001": True, "2e1": False, "x": False}
+    rows = text_rows(spark, *[{"amount": cell, "fees": "0"} for cell in cells])
+    found = [("AMOUNT_SCALE" in row.violations) for row in v.validate(rows).collect()]
+    assert found == list(cells.values())

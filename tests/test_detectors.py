@@ -256,6 +256,13 @@ def test_tontine_near_misses(spark, changes):
     assert d.tontine(typed_rows(spark, *changes)).count() == 0
 
 
+def test_a_circle_over_midnight(spark):
+    late = [{**row, "timestamp": utc("2026-04-10T23:15:00") + timedelta(seconds=600 * index)} for index, row in enumerate(circle(10))]
+    rows = typed_rows(spark, *late)
+    assert d.tontine(rows).count() == 0
+    assert [row.members for row in d.tontine(rows, d.Tontine(same_day=False)).collect()] == [10]
+
+
 def test_circles_are_taken_from_the_alerts(spark):
     normal = circle(10)
     strange = [

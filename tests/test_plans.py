@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
-from conftest import SMALL, typed_rows
+from conftest import SMALL, text_rows, typed_rows
 from walletlens.checks.oracles import all_oracles
 from walletlens.checks.queries import all_queries
 from walletlens.functions import in_day_range
@@ -17,7 +18,7 @@ from walletlens.operators.quantiles import exact_quantiles
 from walletlens.plans import report
 from walletlens.sources import files
 from walletlens.sources.event_log import load_transactions
-from walletlens.sources.work import new_folder, settle, work_folder
+from walletlens.sources.work import new_folder, settle, work_folder, work_scope
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -148,6 +149,57 @@ def test_methods_stay_small_enough_to_compile(spark, stored):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def source_scans(run, stored, folder):
+    """How often a run reads the files of ``stored``, in all jobs that it starts."""
+    seen = []
+    plain = DataFrameWriter.parquet
+
+    def note(writer, path, *rest, **more):
+        seen.append(plan(writer._df))
+        return plain(writer, path, *rest, **more)
+
+    DataFrameWriter.parquet = note
+    try:
+        seen.append(plan(run(stored)))
+    finally:
+        DataFrameWriter.parquet = plain
+    return sum(len(re.findall(f"FileScan parquet [^\n]*{folder}", text)) for text in seen)
+
+
+def test_detectors_read_the_source_seldom(stored):
+    folder = os.path.basename(stored.inputFiles()[0].rsplit("/", 1)[0])
+    circle = detectors.Tontine(seconds=48 * 3600, least_members=3)
+    assert source_scans(detectors.structuring, stored, folder) <= 2
+    assert source_scans(detectors.high_frequency, stored, folder) <= 2
+    assert source_scans(lambda tx: detectors.tontine(tx, circle), stored, folder) <= 2
+    suppressed = lambda tx: detectors.without_tontines(detectors.high_frequency(tx), tx, circle)
+    assert source_scans(suppressed, stored, folder) <= 4
+
+
+def test_names_are_checked_without_a_scan(spark):
+    rows = typed_rows(spark, {}).drop("fees").withColumn("a.b", F.lit(1))
+    states = validation.column_states(rows)
+    assert (states["fees"], states["a.b"], states["amount"]) == ("MISSING", "EXTRA", "REQUIRED")
+    checked = {row.column_name: (row.state, row.filled_cells) for row in validation.column_check(rows).collect()}
+    assert (checked["a.b"], checked["fees"]) == (("EXTRA", 1), ("MISSING", 0))
+
+
+def test_a_scope_deletes_what_was_made_in_it(spark):
+    with work_scope(spark):
+        inner = new_folder(spark, "scope")
+        spark.range(3).write.parquet(inner)
+        assert os.path.exists(inner.removeprefix("file://"))
+    assert not os.path.exists(inner.removeprefix("file://"))
+
+
+def test_the_report_counts_anomalies_as_they_are_written(spark):
+    rows = text_rows(spark, {"is_anomaly": "yes"}, {"is_anomaly": "1"}, {"is_anomaly": "false"}, {"is_anomaly": "TRUE"})
+    summary = report.validation_report(rows)["anomaly_summary"].first()
+    assert summary.anomaly_count == 2
+    kinds = dict(report.as_rows(report.validation_report(rows)).dtypes)
+    assert kinds == {"section": "string", "key": "string", "metric": "string", "value": "double", "text": "string"}
+
+
 def test_work_folder_follows_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is not None:
@@ -155,8 +207,8 @@ def test_work_folder_follows_the_session(spark):
     assert work_folder(spark) == work_folder(spark)
 
 
-def test_sql_for_all_but_estimates():
-    assert set(all_queries()) - set(all_oracles()) == {"stream_tontine_estimate"}
+def test_sql_for_all():
+    assert set(all_queries()) == set(all_oracles())
     assert set(all_oracles()) <= set(all_queries())
 
 

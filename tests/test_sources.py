@@ -8,6 +8,7 @@ from conftest import VALID_TEXT, found, text_rows, typed_rows
 from walletlens import contract
 from walletlens.operators import validation as v
 from walletlens.sources import files
+from walletlens.sources.event_log import transactions_from_events
 from walletlens.sources.work import new_folder, settle
 
 GOLDEN = [
@@ -97,6 +98,48 @@ def test_round_trips(spark, tmp_path):
         assert found(v.canonical(files.read_transactions(spark, path)), *contract.COLUMNS) == expected
 
 
+def test_text_is_not_changed(spark, tmp_path):
+    cells = ["  ACC_00001 ", "ACC_00001\n", "a\r\nb", 'say "x", y', "\t", "é"]
+    rows = text_rows(spark, *[{"sender_id": cell} for cell in cells])
+    for extension in (".csv", ".json"):
+        path = files.write_transactions(rows, str(tmp_path / f"cells{extension}"), multi_line=True)
+        again = files.read_transactions(spark, path, multi_line=True, columns=contract.COLUMNS)
+        assert sorted(row.sender_id for row in again.select("sender_id").collect()) == sorted(cells)
+    padded = rows.where("sender_id like '  %'")
+    path = files.write_transactions(padded, str(tmp_path / "padded.csv"))
+    assert files.read_transactions(spark, path).first().sender_id == "  ACC_00001 "
+    with pytest.raises(Exception, match="multi_line"):
+        files.write_transactions(rows, str(tmp_path / "broken.csv"))
+
+
+def test_headers_in_another_order_are_an_error(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,2\n")
+    write(tmp_path / "b.csv", "b,a\n3,4\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "*.csv")).collect()
+
+
+def test_arrays_are_found(spark, tmp_path):
+    path = write(tmp_path / "array.json", "\n " + json.dumps(json_rows(None), indent=2))
+    assert files.read_transactions(spark, path).count() == len(GOLDEN)
+    assert files.read_transactions(spark, path, columns=contract.COLUMNS).count() == len(GOLDEN)
+    with pytest.raises(Exception):
+        files.read_transactions(spark, path, json_array=False, columns=contract.COLUMNS).collect()
+
+
+def test_flags_are_json_booleans(spark, tmp_path):
+    path = files.write_transactions(typed_rows(spark, {}), str(tmp_path / "flags.json"))
+    row = json.loads(spark.read.text(path).first()[0])
+    assert (row["is_ramadan"], row["is_anomaly"], row["amount"]) == (False, False, "1000.00")
+
+
+def test_accounts_are_not_merged(spark):
+    columns = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    events = spark.createDataFrame([(n, None, user, "click", 1.0, "") for n, user in enumerate((7, 12345, 123450, 123459))], columns)
+    senders = sorted(row.sender_id for row in transactions_from_events(events).collect())
+    assert senders == ["ACC_00007", "ACC_12345", "ACC_123450", "ACC_123459"]
+
+
 def test_dispatch_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_transactions(spark, str(tmp_path / "a.txt"))

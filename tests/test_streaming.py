@@ -10,7 +10,7 @@ from walletlens.operators import detectors as d
 from walletlens.operators import profile
 from walletlens.sources.work import new_folder
 from walletlens.streaming import operators as s
-from walletlens.streaming.sinks import latest, run_append, run_update
+from walletlens.streaming.sinks import compact, latest, run_append, run_complete, run_update
 
 START = utc("2026-04-10T08:00:00")
 
@@ -105,6 +105,51 @@ def test_sessions_close_by_gap(spark):
     assert [row.n for row in got.orderBy("window_start").collect()] == [4, 1]
 
 
+def test_the_last_windows_are_complete(spark):
+    batches = [
+        [{"timestamp": at(500 * number + 60 * step), "sender_id": f"ACC_{step % 3:05d}"} for step in range(9)]
+        for number in range(8)
+    ]
+    rows = typed_rows(spark, *[row for batch in batches for row in batch])
+    got = run_complete(s.stream_sessions, stream_of(spark, *batches), "sessions")
+    assert got.agg(F.sum("n")).first()[0] == rows.count()
+    columns = ["sender_id", "window_start", "window_end", "n", "total"]
+    assert found(got, *columns) == found(s.stream_sessions(rows), *columns)
+    circles = [
+        [{"timestamp": at(60 * step + number), "sender_id": f"ACC_{step + 100:05d}", "amount": "500.00"} for step in range(6)]
+        for number in range(3)
+    ]
+    rows = typed_rows(spark, *[row for batch in circles for row in batch])
+    limits = d.Tontine(least_members=5)
+    got = run_complete(
+        lambda tx: s.stream_tontine(tx, limits), stream_of(spark, *circles), "circles", {"transaction_type": "TRANSFER"}
+    )
+    columns = ["receiver_id", "window_start", "window_end", "members", "payments"]
+    assert found(got, *columns) == found(s.stream_tontine(rows, limits), *columns) != []
+
+
+def test_a_stream_without_rows(spark):
+    folder = new_folder(spark, "no-rows")
+    typed_rows(spark, {}).limit(0).write.parquet(folder)
+    stream = spark.readStream.schema(contract.CANONICAL_SCHEMA).parquet(folder)
+    keys = ["window_start", "window_end"]
+    assert run_update(s.stream_volume(stream), "none", keys).collect() == []
+    assert run_complete(s.stream_sessions, stream, "none").collect() == []
+
+
+def test_batches_can_be_joined(spark):
+    folder = new_folder(spark, "batches")
+    like = spark.createDataFrame([("a", 1)], "k string, n int")
+    for number in range(12):
+        spark.createDataFrame([("a", number), (f"k{number % 3}", number)], "k string, n int").write.parquet(
+            f"{folder}/batch_id={number}"
+        )
+    before = found(latest(spark, folder, like, ["k"]), "k", "n")
+    assert before == [("a", 11), ("k0", 9), ("k1", 10), ("k2", 11)]
+    joined = compact(spark, folder, like, ["k"], "joined")
+    assert found(latest(spark, joined, like, ["k"]), "k", "n") == before
+
+
 def test_a_repeated_batch_changes_nothing(spark):
     stream = stream_of(spark, [{"timestamp": at(0)}], [{"timestamp": at(1)}])
     volume = s.stream_volume(stream)

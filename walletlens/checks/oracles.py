@@ -29,8 +29,8 @@ mapped AS (
   SELECT i, u,
     'EVT_' || CAST(CASE WHEN i % 400 = 399 THEN i - 1 ELSE i END AS VARCHAR) AS transaction_id,
     ts AS "timestamp",
-    'ACC_' || lpad(CAST(u AS VARCHAR), 5, '0') AS sender_id,
-    'ACC_' || lpad(CAST(r AS VARCHAR), 5, '0') AS receiver_id,
+    'ACC_' || lpad(CAST(u AS VARCHAR), CAST(greatest(5, length(CAST(u AS VARCHAR))) AS INTEGER), '0') AS sender_id,
+    'ACC_' || lpad(CAST(r AS VARCHAR), CAST(greatest(5, length(CAST(r AS VARCHAR))) AS INTEGER), '0') AS receiver_id,
     CAST(CASE WHEN i % 977 = 0 THEN 600000 WHEN i % 7 = 3 THEN 500
               WHEN i % 97 = 0 THEN v * 2000 ELSE v * 100 END AS DECIMAL(18,2)) AS amount,
     CASE WHEN i % 501 = 0 THEN 'EUR' WHEN i % 25 = 0 THEN 'XOF' WHEN i % 25 = 1 THEN 'USD' ELSE 'MRU' END AS currency,
@@ -67,7 +67,7 @@ raw AS (
     CASE p WHEN 5 THEN NULL ELSE transaction_id END AS transaction_id,
     CASE WHEN p = 1 THEN stamp WHEN p = 2 THEN stamp || '+01:00' WHEN p = 3 THEN 'not a date' WHEN p = 4 THEN NULL
          WHEN p > 125 THEN stamp || 'Z' ELSE stamp || '+00:00' END AS "timestamp",
-    CASE p WHEN 6 THEN 'ACC_0001' WHEN 7 THEN 'ACC_00001' || chr(10) ELSE sender_id END AS sender_id,
+    CASE p WHEN 6 THEN 'ACC_0001' WHEN 7 THEN 'ACC_00001' || chr(10) WHEN 26 THEN '  ACC_00001 ' ELSE sender_id END AS sender_id,
     CASE p WHEN 8 THEN NULL ELSE receiver_id END AS receiver_id,
     CASE p WHEN 9 THEN 'abc' WHEN 10 THEN '-5.00' WHEN 11 THEN '1.005' ELSE CAST(amount AS VARCHAR) END AS amount,
     currency,
@@ -233,6 +233,47 @@ UNION ALL SELECT 'top_regions_percent', value, share FROM ({_share('sender_wilay
 UNION ALL SELECT 'anomaly_percent', NULL, {_percent('count(*) FILTER (WHERE is_anomaly)', 'count(*)')} FROM tx
 UNION ALL SELECT 'anomaly_types_count', anomaly_type, CAST(count(*) AS DOUBLE) FROM tx GROUP BY ALL"""
 
+
+
+def _report_rows(section: str, table: str, key: str | None, numbers: str, texts: str = "") -> str:
+    """Rows of (section, key, metric, value, text) of one table of the report."""
+    parts = [(name, f"CAST({name} AS DOUBLE)", "CAST(NULL AS VARCHAR)") for name in numbers.split()]
+    parts += [(name, "CAST(NULL AS DOUBLE)", f"CAST({name} AS VARCHAR)") for name in texts.split()]
+    shown = key or "CAST(NULL AS VARCHAR)"
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {shown} AS key, '{name}' AS metric, {value} AS value, {text} AS text FROM ({table})"
+        for name, value, text in parts
+    )
+
+
+def _report() -> str:
+    anomalies = f"""SELECT count(*) FILTER (WHERE is_anomaly) AS anomaly_count,
+        {_percent('count(*) FILTER (WHERE is_anomaly)', 'count(*)')} AS anomaly_percent FROM tx"""
+    columns = " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name, 'REQUIRED' AS state, count("{name}") AS filled_cells, count(*) AS row_count FROM tx"""
+        for name in contract.COLUMNS
+    )
+    failing = _failing("tx", _TYPED_RULES)[1:]
+    valid = _row_validation("tx", _TYPED_RULES)[1:]
+    samples = f"""WITH {failing} ORDER BY transaction_id, "timestamp", reasons LIMIT 5"""
+    counts = "season_transactions other_transactions season_daily_avg other_daily_avg season_multiplier"
+    return " UNION ALL ".join([
+        _report_rows("column_check", columns, "column_name", "filled_cells row_count", "state"),
+        _report_rows("row_validation", f"WITH {valid}", None, "valid_count invalid_count is_valid"),
+        _report_rows("failing_samples", f"""SELECT transaction_id, CAST("timestamp" AS VARCHAR) AS "timestamp", reasons FROM ({samples})""",
+                     "transaction_id", "", "timestamp reasons"),
+        _report_rows("channel_share", _share("channel"), "value", "n share"),
+        _report_rows("geo_summary", _GEO_SUMMARY, None, "capital_percent port_percent other_percent"),
+        _report_rows("top_regions", _share("sender_wilaya", "ORDER BY n DESC, value LIMIT 10"), "value", "n share"),
+        _report_rows("type_count", "SELECT transaction_type AS value, count(*) AS n FROM tx GROUP BY ALL", "value", "n"),
+        _report_rows("anomaly_summary", anomalies, None, "anomaly_count anomaly_percent"),
+        _report_rows("anomaly_type_count", "SELECT anomaly_type AS value, count(*) AS n FROM tx GROUP BY ALL", "value", "n"),
+        _report_rows("daily_volume_summary", _DAILY_SUMMARY, None, "days mean_rows min_rows max_rows"),
+        _report_rows("season_compare", _periods(_SEASON, "season"), None, counts),
+        _report_rows("salary_compare", _periods(_SALARY, "salary"), None, counts.replace("season", "salary")),
+    ])
+
+
 _EXPECTED = ", ".join(
     f"('{mix}', '{value}', {share}::DOUBLE)"
     for mix, shares in dimensions.EXPECTED_MIXES.items()
@@ -265,7 +306,9 @@ FROM (SELECT tx_date, w, running, total, coalesce(n, 0) AS n FROM (
   SELECT tx_date, w, sum(w) OVER (ORDER BY tx_date) AS running, CAST(sum(w) OVER () AS DOUBLE) AS total FROM (
     SELECT tx_date, CAST((CASE WHEN {_SEASON} THEN 2.5 ELSE 1.0 END) * (CASE WHEN {_SALARY} THEN 1.8 ELSE 1.0 END) AS DECIMAL(6,2)) AS w
     FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS tx_date)))
-  LEFT JOIN ({_DAILY}) USING (tx_date))"""
+  LEFT JOIN ({_DAILY}) USING (tx_date))
+UNION ALL SELECT NULL, NULL, NULL, NULL, count(*), NULL FROM tx
+WHERE NOT coalesce(CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30', false)"""
 
 _RANGES = ", ".join(
     f"('{key}', {low}::DECIMAL(18,2), {high}::DECIMAL(18,2))" for key, (low, high) in dimensions.AMOUNT_RANGES.items()
@@ -406,16 +449,12 @@ FROM (SELECT *, unnest(generate_series(sec - sec % {slide} - {length - slide}, s
 WHERE start_sec + {length} > sec"""
 
 
-# What an append-mode stream has closed at its end: all up to the watermark.
-_WATERMARK = """make_timestamp(CAST(epoch_ms(max("timestamp")) - 7200000 AS BIGINT) * 1000)"""
-
-_SESSIONS = f"""SELECT sender_id, min("timestamp") AS window_start, max("timestamp") + INTERVAL 10 MINUTE AS window_end,
+_SESSIONS = """SELECT sender_id, min("timestamp") AS window_start, max("timestamp") + INTERVAL 10 MINUTE AS window_end,
   count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS total
 FROM (SELECT *, sum(fresh) OVER (PARTITION BY sender_id ORDER BY "timestamp", transaction_id ROWS UNBOUNDED PRECEDING) AS run
       FROM (SELECT *, CASE WHEN "timestamp" >= lag("timestamp") OVER (PARTITION BY sender_id ORDER BY "timestamp", transaction_id)
                         + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM tx))
-GROUP BY sender_id, run
-HAVING max("timestamp") + INTERVAL 10 MINUTE <= (SELECT {_WATERMARK} FROM tx)"""
+GROUP BY sender_id, run"""
 
 _CANONICAL_TEXT_COLUMNS = """
   coalesce(transaction_id, '') AS transaction_id,
@@ -451,6 +490,7 @@ def all_oracles() -> dict[str, str]:
         "salary_compare": _periods(_SALARY, "salary"),
         "profile_sets": _PROFILE,
         "basic_stats": _BASIC,
+        "validation_report": _report(),
         "report_channel_share": _share("channel"),
         "report_geo_summary": _GEO_SUMMARY,
         "report_season_compare": _periods(_SEASON, "season"),
@@ -463,7 +503,8 @@ def all_oracles() -> dict[str, str]:
             for name in contract.COLUMNS
         ),
         "duplicate_ids": "SELECT transaction_id, count(*) AS n FROM tx GROUP BY ALL HAVING count(*) > 1",
-        "season_flag_check": """SELECT transaction_id, "timestamp", is_ramadan, false AS expected_flag FROM tx WHERE is_ramadan""",
+        "season_flag_check": f"""SELECT transaction_id, "timestamp", NOT is_ramadan AS is_ramadan, {_IN_SEASON} AS expected_flag
+            FROM tx WHERE transaction_id LIKE '%00'""",
         "scalar_columns": f"""SELECT transaction_id, CAST(round(amount * CAST(0.0175 AS DECIMAL(5,4)), 2) AS DECIMAL(18,2)) AS charge,
             {_IN_SEASON} AS in_season, CASE WHEN {_IN_SEASON} THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS season_weight,
             {_SALARY_DAY} AS salary_day, CASE WHEN {_SALARY_DAY} THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END AS salary_weight,
@@ -544,8 +585,10 @@ def all_oracles() -> dict[str, str]:
             FROM ({_windows(f'(SELECT * FROM tx WHERE {_SMALL})', 'sender_id', 108000, 21600)}) GROUP BY ALL HAVING count(*) >= 4""",
         "stream_tontine": f"""SELECT receiver_id, amount, window_start, window_end, count(DISTINCT sender_id) AS members,
             count(*) AS payments FROM ({_windows("(SELECT * FROM tx WHERE transaction_type = 'TRANSFER')", '', 216000, 43200)})
-            GROUP BY ALL HAVING count(DISTINCT sender_id) >= 3
-            AND window_end <= (SELECT {_WATERMARK} FROM tx WHERE transaction_type = 'TRANSFER')""",
+            GROUP BY ALL HAVING count(DISTINCT sender_id) >= 3""",
+        "stream_tontine_estimate": f"""SELECT receiver_id, amount, window_start, window_end, count(DISTINCT sender_id) AS members,
+            true AS within_error FROM ({_windows("(SELECT * FROM tx WHERE transaction_type = 'TRANSFER')", '', 216000, 43200)})
+            GROUP BY ALL HAVING count(DISTINCT sender_id) >= 3""",
         "stream_sessions": _SESSIONS,
         "csv_round_trip": "SELECT * FROM tx",
         "json_round_trip": "SELECT * FROM tx",
@@ -595,6 +638,7 @@ def all_oracles() -> dict[str, str]:
         "text_canonical": f"""SELECT {_CANONICAL_TEXT_COLUMNS} FROM (
             SELECT *, {_MOMENT} AS moment, TRY_CAST(amount AS DECIMAL(38,10)) AS amt, TRY_CAST(fees AS DECIMAL(38,10)) AS fee FROM raw)""",
     }
+    on_raw["text_csv_round_trip"] = on_raw["text_json_round_trip"] = on_raw["text_canonical"]
     found = {name: f"WITH {_EVENTS} {text}" for name, text in on_tx.items()}
     found |= {name: f"WITH {_EVENTS}{text}" for name, text in chained.items()}
     found |= {

@@ -23,7 +23,7 @@ from walletlens.sources.event_log import (
 )
 from walletlens.sources.work import new_folder, settle
 from walletlens.streaming import operators as streams
-from walletlens.streaming.sinks import run_append, run_update
+from walletlens.streaming.sinks import run_append, run_complete, run_update
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +31,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 STRUCTURING = detectors.Structuring(seconds=10 * 86400, least_rows=2, variation="0.5", least_total="1000")
 HIGH_FREQUENCY = detectors.HighFrequency(seconds=86400, least_rows=4)
 RECEIVER_BURST = detectors.HighFrequency(key=("receiver_id",), seconds=86400, least_rows=4)
-TONTINE = detectors.Tontine(seconds=48 * 3600, least_members=3)
+TONTINE = detectors.Tontine(seconds=48 * 3600, least_members=3, same_day=False)
 OUTAGE = detectors.Outage(seconds=86400, least_rate=10.0)
 LIMITS = labels.Limits(STRUCTURING, HIGH_FREQUENCY, OUTAGE)
+# Cells of a row that the circle operators do not filter out.
+A_TRANSFER = {"transaction_type": "TRANSFER"}
 
 
 def _on_tx(operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -56,6 +58,39 @@ def _on_stream(run: Callable[[DataFrame], DataFrame], raw: bool = False) -> Quer
     return lambda spark, folder: run(reader(_events_stream(spark, folder)))
 
 
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the rows that stay; a row that is not wholly a row of the table would be missing."""
+    kept = run_append(streams.stream_dedup(transactions_from_events(_events_stream(spark, folder))), "stream-ids")
+    return kept.intersect(load_transactions(spark, folder)).select("transaction_id")
+
+
+def tontine_estimate_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed circles with their exact members, and whether the estimate of each is near it.
+
+    The exact count is that of the batch; a window of at most 16 members is estimated within one.
+    """
+    stream = transactions_from_events(_events_stream(spark, folder))
+    keys = ["receiver_id", "amount", "window_start", "window_end"]
+    least = TONTINE._replace(least_members=1)
+    estimate = run_update(
+        streams.stream_tontine_estimate(stream, least, "60 hours", "12 hours"), "stream-tontine-estimate", keys
+    )
+    exact = run_complete(
+        lambda tx: streams.stream_tontine(tx, TONTINE, "60 hours", "12 hours"), stream, "stream-tontine", A_TRANSFER
+    )
+    near = F.abs(F.col("estimate") - F.col("members")) <= F.greatest(F.lit(1.0), 0.1 * F.col("members"))
+    return exact.join(estimate.withColumnRenamed("members", "estimate"), keys, "left").select(
+        *keys, "members", F.coalesce(near, F.lit(False)).alias("within_error")
+    )
+
+
+def stale_season_flags(tx: DataFrame) -> DataFrame:
+    """Season flags of the log's own season; each 100th row has a stale one."""
+    stale = F.col("transaction_id").endswith("00")
+    flagged = tx.withColumn("is_ramadan", F.when(stale, ~F.col("is_ramadan")).otherwise(F.col("is_ramadan")))
+    return validation.season_flag_mismatches(flagged, LOG_SEASONS)
+
+
 def _daily(tx: DataFrame) -> DataFrame:
     return profile.daily_counts(tx)
 
@@ -129,6 +164,18 @@ def _round_trip(extension: str, **options) -> Query:
     return run
 
 
+def _text_round_trip(extension: str, **options) -> Query:
+    """Text rows with all their defects through a text sink, read back and made canonical."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_folder(spark, "text-round-trip") + extension
+        raw = load_raw_text(prepare(spark), folder)
+        files.write_transactions(raw, path, multi_line=True)
+        return canonical_text(files.read_transactions(spark, path, multi_line=True, **options))
+
+    return run
+
+
 def parquet_by_date(tx: DataFrame) -> DataFrame:
     """Typed Parquet in date folders; only the wanted days are read."""
     spark = tx.sparkSession
@@ -138,9 +185,9 @@ def parquet_by_date(tx: DataFrame) -> DataFrame:
 
 
 def appended(tx: DataFrame) -> DataFrame:
-    """Two batches in one table, counted by route of origin."""
-    early = tx.filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"))
-    late = tx.filter(F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp"))
+    """Two batches in one table, counted by status; a row without a time is in the second."""
+    is_early = F.coalesce(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), F.lit(False))
+    early, late = tx.filter(is_early), tx.filter(~is_early)
     return profile.value_count(early.unionByName(late, allowMissingColumns=False), "status")
 
 
@@ -153,6 +200,11 @@ def report_row(name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda tx: report.report_from_sets(settle(report.profile_sets(tx), "profile"), LOG_SEASONS)[name]
 
 
+def report_rows(tx: DataFrame) -> DataFrame:
+    """The whole report as rows of (table, key, metric, value)."""
+    return report.as_rows(report.validation_report(tx, LOG_SEASONS))
+
+
 def tontine_suppressed(tx: DataFrame) -> DataFrame:
     """Bursts towards one receiver that no savings circle explains."""
     return detectors.without_tontines(detectors.high_frequency(tx, RECEIVER_BURST), tx, TONTINE)
@@ -194,6 +246,7 @@ def all_queries() -> dict[str, Query]:
         "salary_compare": lambda tx: profile.salary_compare(_daily(tx)),
         "profile_sets": report.profile_sets,
         "basic_stats": report.basic_stats,
+        "validation_report": report_rows,
         "report_channel_share": report_row("channel_share"),
         "report_geo_summary": report_row("geo_summary"),
         "report_season_compare": report_row("season_compare"),
@@ -209,7 +262,7 @@ def all_queries() -> dict[str, Query]:
         "failing_samples": validation.failing_samples,
         "quarantine": quarantine,
         "duplicate_ids": validation.duplicate_ids,
-        "season_flag_check": validation.season_flag_mismatches,
+        "season_flag_check": stale_season_flags,
         "missing_column_defaults": missing_column_defaults,
         # functions, sources, set operations
         "scalar_columns": scalar_columns,
@@ -263,9 +316,6 @@ def all_queries() -> dict[str, Query]:
         "text_quarantine": quarantine,
     }
     on_stream = {
-        "stream_dedup": lambda tx: run_append(
-            streams.stream_dedup(tx).select("transaction_id"), "stream-ids"
-        ),
         "stream_daily": lambda tx: run_update(
             streams.stream_volume(tx), "stream-daily", ["window_start", "window_end"]
         ),
@@ -280,22 +330,21 @@ def all_queries() -> dict[str, Query]:
             "stream-burst",
             ["sender_id", "window_start", "window_end"],
         ),
-        "stream_tontine": lambda tx: run_append(
-            streams.stream_tontine(tx, TONTINE, "60 hours", "12 hours"), "stream-tontine"
-        ),
-        "stream_tontine_estimate": lambda tx: run_update(
-            streams.stream_tontine_estimate(tx, TONTINE, "60 hours", "12 hours"),
-            "stream-tontine-estimate",
-            ["receiver_id", "amount", "window_start", "window_end"],
+        "stream_tontine": lambda tx: run_complete(
+            lambda rows: streams.stream_tontine(rows, TONTINE, "60 hours", "12 hours"), tx, "stream-tontine", A_TRANSFER
         ),
-        "stream_sessions": lambda tx: run_append(streams.stream_sessions(tx), "stream-sessions"),
+        "stream_sessions": lambda tx: run_complete(streams.stream_sessions, tx, "stream-sessions"),
     }
     found = {name: _on_tx(operator) for name, operator in on_tx.items()}
     found |= {name: _on_raw(operator) for name, operator in on_raw.items()}
     found |= {name: _on_stream(run) for name, run in on_stream.items()}
+    found["stream_dedup"] = stream_dedup
+    found["stream_tontine_estimate"] = tontine_estimate_check
     found["stream_validate"] = _on_stream(quarantine_stream)
     found["text_stream_validate"] = _on_stream(quarantine_stream, raw=True)
     found["csv_round_trip"] = _round_trip(".csv")
     found["json_round_trip"] = _round_trip(".json", columns=contract.COLUMNS)
+    found["text_csv_round_trip"] = _text_round_trip(".csv")
+    found["text_json_round_trip"] = _text_round_trip(".json", columns=contract.COLUMNS)
     found["parquet_round_trip"] = _round_trip(".parquet")
     return {name: _named(query, name) for name, query in found.items()}

@@ -79,7 +79,6 @@ RURAL_REGIONS = [
     "Guidimakha",
 ]
 
-REMOTE_REGIONS = ["Tiris Zemmour", "Inchiri", "Dakhlet Nouadhibou", "Guidimakha"]
 
 STATUSES = ["SUCCESS", "FAILED", "PENDING"]
 

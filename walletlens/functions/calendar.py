@@ -31,7 +31,7 @@ TIMESTAMP_PATTERN = (
 
 def utc_timestamp(value: Column) -> Column:
     """Timestamp of an ISO 8601 text, null when it cannot be read."""
-    text = F.upper(F.trim(value.cast("string")))
+    text = F.replace(F.upper(F.trim(value.cast("string"))), F.lit(","), F.lit("."))
     return F.when(value.rlike(TIMESTAMP_PATTERN), F.try_to_timestamp(F.replace(text, F.lit("_"), F.lit(" "))))
 
 

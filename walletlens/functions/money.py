@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def money(value: Column) -> Column:
-    """Two decimals, halves rounded up."""
-    return F.round(value.cast("decimal(38,10)"), 2).cast("decimal(18,2)")
+    """Two decimals, halves rounded up; 18 places are seen before the only rounding."""
+    return F.round(value.cast("decimal(38,18)"), 2).cast("decimal(18,2)")
 
 
 def half_even(value: Column, digits: int = 2) -> Column:

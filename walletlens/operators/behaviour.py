@@ -21,7 +21,7 @@ from walletlens.functions import (
     percent,
     tx_date,
 )
-from walletlens.operators.profile import daily_counts, distributions
+from walletlens.operators.profile import daily_counts, distributions, with_share
 from walletlens.operators.quantiles import exact_quantiles
 from walletlens.sources import dimensions
 from walletlens.sources.work import settle
@@ -85,6 +85,7 @@ def seasonal_expectation(
 ) -> DataFrame:
     """Expected and observed rows per day of a calendar; days without rows are kept.
 
+    One more row, without a day, counts the rows outside the calendar and those without a time.
     The running weight is taken over the calendar, which has one row per day, not over
     transactions.
     """
@@ -95,7 +96,7 @@ def seasonal_expectation(
     whole = Window.partitionBy()
     weight, running = F.col("weight").cast("double"), F.col("running_weight").cast("double")
     total, rows = F.sum("weight").over(whole).cast("double"), F.sum("n").over(whole)
-    return joined.select(
+    inside = joined.select(
         "tx_date",
         weight.alias("weight"),
         half_even(weight / total, 6).alias("expected_share"),
@@ -103,6 +104,9 @@ def seasonal_expectation(
         F.col("n").alias("observed_rows"),
         guarded_ratio(F.col("n") * total, weight * rows).alias("observed_to_expected"),
     )
+    within = F.coalesce(F.to_date("timestamp").between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
+    outside = tx.agg(F.count_if(~within).alias("observed_rows"))
+    return inside.unionByName(outside, allowMissingColumns=True)
 
 
 def hourly_profile(tx: DataFrame, seasons: Sequence[Season] = DEFAULT_SEASONS) -> DataFrame:
@@ -268,8 +272,8 @@ def _most_frequent(counts: DataFrame, key: str, value: str) -> DataFrame:
 def account_profile(tx: DataFrame) -> DataFrame:
     """Rows and value sent and received, modal region, operator and channel, and tier.
 
-    Transactions are first reduced to one row per account and combination of its values;
-    the rest works on that table. LOW, MEDIUM and HIGH split the accounts at the 60th and
+    Rows without a sender or receiver count for the account null. Transactions are first reduced
+    to one row per account and combination of its values; the rest works on that table. LOW, MEDIUM and HIGH split the accounts at the 60th and
     90th percentile of rows sent.
     """
     dims = ["sender_wilaya", "operator", "channel"]
@@ -287,12 +291,12 @@ def account_profile(tx: DataFrame) -> DataFrame:
     )
     sent = combined.groupBy("sender_id").agg(F.sum("n").alias("sent_rows"), F.sum("amount").alias("sent_amount"))
     received = tx.groupBy("receiver_id").agg(_n("received_rows"), F.sum("amount").alias("received_amount"))
+    sender = sent.withColumnRenamed("sender_id", "sent_by")
+    known = sender.join(modal, F.col("sent_by").eqNullSafe(F.col("sender_id")), "left").drop("sender_id")
     accounts = (
-        sent.join(modal, "sender_id")
-        .withColumnRenamed("sender_id", "account_id")
-        .join(received.withColumnRenamed("receiver_id", "account_id"), "account_id", "full")
+        known.join(received, F.col("sent_by").eqNullSafe(F.col("receiver_id")), "full")
         .select(
-            "account_id",
+            F.coalesce("sent_by", "receiver_id").alias("account_id"),
             *[F.coalesce(name, F.lit(0)).alias(name) for name in ("sent_rows", "received_rows")],
             *[
                 F.coalesce(name, F.lit(0)).cast("decimal(38,2)").alias(name)
@@ -383,7 +387,7 @@ def corridors(tx: DataFrame) -> DataFrame:
     flows = tx.groupBy("sender_wilaya", "receiver_wilaya").agg(
         _n("n"), F.sum("amount").cast("decimal(38,2)").alias("amount")
     )
-    return _share_within(flows, [])
+    return with_share(flows)
 
 
 def corridor_matrix(tx: DataFrame) -> DataFrame:

@@ -53,6 +53,12 @@ class Tontine(NamedTuple):
 
     seconds: int = 2 * 3600
     least_members: int = 10
+    # The payments of a circle are of one UTC day.
+    same_day: bool = True
+
+    @property
+    def key(self) -> tuple[str, ...]:
+        return (*_TONTINE_KEY, "day") if self.same_day else _TONTINE_KEY
 
 
 class Outage(NamedTuple):
@@ -64,6 +70,7 @@ class Outage(NamedTuple):
 
 
 HIGH_AMOUNT_FACTOR = 10
+_TONTINE_KEY = ("receiver_id", "amount")
 
 
 def _amount(text: str) -> Column:
@@ -138,7 +145,7 @@ def _structuring_alerts(rows: DataFrame, limits: Structuring) -> DataFrame:
 def _structuring_input(tx: DataFrame, limits: Structuring) -> DataFrame:
     rows = with_second(tx.filter(successful_transfers()))
     columns = dict.fromkeys(["transaction_id", "timestamp", "sender_id", "receiver_id", "amount", "sec", *limits.key])
-    return dense_rows(rows.select(*columns), limits.key, limits.seconds, limits.least_rows)
+    return settle(dense_rows(rows.select(*columns), limits.key, limits.seconds, limits.least_rows), "dense-split")
 
 
 def structuring(tx: DataFrame, limits: Structuring = Structuring()) -> DataFrame:
@@ -178,7 +185,7 @@ def _burst_input(tx: DataFrame, limits: HighFrequency) -> DataFrame:
     columns = dict.fromkeys(
         ["transaction_id", "timestamp", "sender_id", "receiver_id", "amount", "transaction_type", "status", "sec", *limits.key]
     )
-    return dense_rows(rows.select(*columns), limits.key, limits.seconds, limits.least_rows)
+    return settle(dense_rows(rows.select(*columns), limits.key, limits.seconds, limits.least_rows), "dense-burst")
 
 
 def _burst_alerts(rows: DataFrame, limits: HighFrequency) -> DataFrame:
@@ -281,25 +288,23 @@ def transfers() -> Column:
     return F.col("transaction_type") == "TRANSFER"
 
 
-_TONTINE_KEY = ("receiver_id", "amount")
-
-
 def _tontine_input(tx: DataFrame, limits: Tontine) -> DataFrame:
+    day = [F.to_date("timestamp").alias("day")] if limits.same_day else []
     rows = with_second(tx.filter(transfers())).select(
-        "transaction_id", "timestamp", "sender_id", "receiver_id", "amount", "sec"
+        "transaction_id", "timestamp", "sender_id", "receiver_id", "amount", "sec", *day
     )
-    return dense_rows(rows, _TONTINE_KEY, limits.seconds, limits.least_members)
+    return settle(dense_rows(rows, limits.key, limits.seconds, limits.least_members), "dense-circle")
 
 
 def _tontine_alerts(rows: DataFrame, limits: Tontine) -> DataFrame:
-    members = rolling_distinct(rows, _TONTINE_KEY, "sender_id", limits.seconds)
+    members = rolling_distinct(rows, limits.key, "sender_id", limits.seconds)
     return members.filter(F.col("members") >= limits.least_members)
 
 
 def tontine(tx: DataFrame, limits: Tontine = Tontine()) -> DataFrame:
     """Transfers at which a circle of enough distinct payers is complete."""
     rows = _tontine_input(tx, limits)
-    return rows.join(_tontine_alerts(rows, limits), [*_TONTINE_KEY, "sec"]).select(
+    return rows.join(_tontine_alerts(rows, limits), [*limits.key, "sec"]).select(
         "transaction_id", "timestamp", "sender_id", "receiver_id", "amount", "members"
     )
 
@@ -307,7 +312,7 @@ def tontine(tx: DataFrame, limits: Tontine = Tontine()) -> DataFrame:
 def tontine_seconds(tx: DataFrame, limits: Tontine = Tontine()) -> DataFrame:
     """Receiver, amount and second of every payment of every circle, first ones included."""
     rows = _tontine_input(tx, limits)
-    return frame_seconds(rows, _tontine_alerts(rows, limits), _TONTINE_KEY, limits.seconds)
+    return frame_seconds(rows, _tontine_alerts(rows, limits), limits.key, limits.seconds).select(*_TONTINE_KEY, "sec")
 
 
 def without_tontines(alerts: DataFrame, tx: DataFrame, limits: Tontine = Tontine()) -> DataFrame:

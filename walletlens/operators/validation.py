@@ -17,6 +17,9 @@ _WIDE = "decimal(38,18)"
 _OFFSET = r"([Zz]|[+-]\d{2}(:?\d{2})?)\s*\z"
 _ZERO_OFFSET = r"([Zz]|[+-]00(:?00)?)\s*\z"
 
+# More than two decimals, zeros at the end aside.
+_FINE = r"\.\d{2}\d*[1-9]0*\s*\z"
+
 _SEPARATOR = "|"
 
 _ENUM_RULES = {
@@ -42,13 +45,20 @@ def extra_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if name not in contract.COLUMNS]
 
 
+def column_states(df: DataFrame) -> dict[str, str]:
+    """REQUIRED, MISSING or EXTRA for each expected or additional column, without reading data."""
+    missing = set(missing_columns(df))
+    state = {name: "MISSING" if name in missing else "REQUIRED" for name in contract.COLUMNS}
+    return state | {name: "EXTRA" for name in extra_columns(df)}
+
+
 def column_check(df: DataFrame) -> DataFrame:
     """One row per expected or additional column: its state and the number of filled cells.
 
-    The table conforms when no row has the state MISSING; additional columns do no harm.
+    The table conforms when no row has the state MISSING; additional columns do no harm. For the
+    states alone see ``column_states``.
     """
-    state = {name: "MISSING" for name in missing_columns(df)}
-    state |= {name: "EXTRA" for name in extra_columns(df)}
+    state = {name: kind for name, kind in column_states(df).items() if kind != "REQUIRED"}
     counts = [
         (F.lit(0).cast("bigint") if state.get(name) == "MISSING" else F.count(F.col(f"`{name}`"))).alias(name)
         for name in contract.COLUMNS + extra_columns(df)
@@ -56,7 +66,7 @@ def column_check(df: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(part) for pair in state.items() for part in pair]) if state else None
     filled = df.agg(*counts, F.count(F.lit(1)).alias("__rows"))
     columns = [name for name in filled.columns if name != "__rows"]
-    rows = filled.unpivot("__rows", columns, "column_name", "filled_cells")
+    rows = filled.unpivot("__rows", [f"`{name}`" for name in columns], "column_name", "filled_cells")
     found = F.try_element_at(names, F.col("column_name")) if state else F.lit(None).cast("string")
     return rows.select(
         "column_name",
@@ -103,13 +113,18 @@ def payload(df: DataFrame) -> DataFrame:
     return with_defaults(normalized(df)).select(*contract.COLUMNS)
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Typed record; a cell that cannot be read becomes null and its row is kept."""
+def canonical(df: DataFrame, raw: Sequence[str] = ()) -> DataFrame:
+    """Typed record; a cell that cannot be read becomes null and its row is kept.
+
+    Columns in ``raw`` keep their cells as they are.
+    """
     rows = payload(df)
     kinds = dict(rows.dtypes)
 
     def cell(field) -> Column:
         column, kind = F.col(field.name), kinds[field.name]
+        if field.name in raw:
+            return column
         if field.name == "timestamp":
             column = utc_timestamp(column) if kind == "string" else column.cast("timestamp")
         elif field.name in ("amount", "fees"):
@@ -133,7 +148,9 @@ def _money(column: Column, kind: str) -> tuple[Column, Column]:
     if kind == contract.MONEY.simpleString():
         return column, F.lit(False)
     wide = column.try_cast(_WIDE)
-    return wide, wide != F.round(wide, 2)
+    finer = wide != F.round(wide, 2)
+    # The type holds 18 places; the text is judged to its end.
+    return wide, finer | (wide.isNotNull() & column.rlike(_FINE)) if kind == "string" else finer
 
 
 # ---------------------------------------------------------------- rules

@@ -106,7 +106,8 @@ def validation_report(df: DataFrame, seasons: Sequence[Season] = DEFAULT_SEASONS
         "row_validation": validation.row_validation(df),
         "failing_samples": validation.failing_samples(df),
     }
-    sets = settle(profile_sets(validation.canonical(df)), "profile")
+    # Anomalies are counted on the cells as they are: only ``true`` and ``1`` are anomalies.
+    sets = settle(profile_sets(validation.canonical(df, raw=["is_anomaly"])), "profile")
     needs = {
         "channel_share": "channel",
         "geo_summary": "sender_wilaya",
@@ -122,6 +123,37 @@ def validation_report(df: DataFrame, seasons: Sequence[Season] = DEFAULT_SEASONS
     return checked | {name: table for name, table in tables.items() if needs[name] not in missing}
 
 
+def as_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """The tables of a report as rows of (section, key, metric, value, text).
+
+    The key is the first of value, label, column_name and transaction_id that a table has. Numbers
+    and flags are values, other columns are texts.
+    """
+    keys = ("value", "label", "column_name", "transaction_id")
+    parts = []
+    for section, table in tables.items():
+        key = next((name for name in keys if name in table.columns), None)
+        cells = []
+        for name, kind in table.dtypes:
+            if name == key:
+                continue
+            number = kind in ("boolean", "int", "bigint", "double") or kind.startswith("decimal")
+            value = F.col(name).cast("double") if number else F.lit(None).cast("double")
+            text = F.lit(None).cast("string") if number else F.col(name).cast("string")
+            cells.append(F.struct(F.lit(name).alias("metric"), value.alias("value"), text.alias("text")))
+        parts.append(
+            table.select(
+                F.lit(section).alias("section"),
+                (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
+                F.explode(F.array(*cells)).alias("cell"),
+            ).select("section", "key", "cell.*")
+        )
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def basic_stats(tx: DataFrame) -> DataFrame:
     """The short statistics as rows of (section, value, metric), from one scan.
 

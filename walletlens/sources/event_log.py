@@ -32,7 +32,8 @@ def _mapped(events: DataFrame) -> DataFrame:
     other = F.when(i % 7 == 3, 140 + i % 5).otherwise((u * 7 + i % 11 + 1) % 150)
 
     def account(number: Column) -> Column:
-        return F.concat(F.lit("ACC_"), F.lpad(number.cast("string"), 5, "0"))
+        digits = number.cast("string")
+        return F.concat(F.lit("ACC_"), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
 
     amount = (
         F.when(i % 977 == 0, F.lit(600000).cast("decimal(18,2)"))
@@ -125,7 +126,7 @@ def raw_text_from_events(events: DataFrame) -> DataFrame:
     return mapped.withColumn("place", place).select(
         cell("transaction_id", (5, "  ")),
         stamp.alias("timestamp"),
-        cell("sender_id", (6, "ACC_0001"), (7, "ACC_00001\n")),
+        cell("sender_id", (6, "ACC_0001"), (7, "ACC_00001\n"), (26, "  ACC_00001 ")),
         cell("receiver_id", (8, None)),
         cell("amount", (9, "abc"), (10, "-5.00"), (11, "1.005")),
         cell("currency"),

@@ -23,22 +23,29 @@ def format_of(path: str, format: str | None = None) -> str:
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV; every cell stays text and extra columns are kept.
 
-    ``multi_line`` is for cells with line breaks; such a file cannot be split.
+    ``multi_line`` is for cells with line breaks; such a file cannot be split. Files of one read
+    must have the same header in the same order; others are an error, not swapped columns.
     """
-    options = {"header": True, "escape": '"', "encoding": "UTF-8", "inferSchema": False}
+    options = {"header": True, "escape": '"', "encoding": "UTF-8", "inferSchema": False, "enforceSchema": False}
     return spark.read.options(**options).option("multiLine", multi_line).csv(path)
 
 
 def read_json(
-    spark: SparkSession, path: str, array: bool = False, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, array: bool | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One object per line, or with ``array`` one array per file; every value as its text.
 
+    Without ``array`` the first line that is not blank decides. A line that is no object is an
+    error of the reader.
+
     Without ``columns`` Spark reads all data once more to find the columns. Large sources
     should name them; a named column that no object has is then null, not missing. A file
     with an array cannot be split and should be rewritten as lines or Parquet first.
     """
-    reader = spark.read.option("multiLine", array)
+    if array is None:
+        first = spark.read.text(path).where(F.col("value").rlike(r"\S")).first()
+        array = first is not None and first[0].lstrip("\ufeff \t").startswith("[")
+    reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
     if columns is None:
         return reader.option("primitivesAsString", True).json(path)
     return reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns])).json(path)
@@ -52,13 +59,17 @@ def read_transactions(
     spark: SparkSession,
     path: str,
     format: str | None = None,
-    json_array: bool = False,
+    json_array: bool | None = None,
     columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read by format. A missing path is an error of the reader."""
+    """Read by format. A missing path is an error of the reader.
+
+    ``multi_line`` is for CSV cells with line breaks; JSON arrays are found by their first line.
+    """
     chosen = format_of(path, format)
     if chosen == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, multi_line)
     if chosen == "json":
         return read_json(spark, path, json_array, columns)
     return read_parquet(spark, path)
@@ -77,15 +88,38 @@ def canonical_text(df: DataFrame) -> DataFrame:
     return df.select(*[cell(name) for name in contract.COLUMNS])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    options = {"header": True, "escape": '"', "encoding": "UTF-8", "emptyValue": ""}
-    canonical_text(df).write.mode(mode).options(**options).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", multi_line: bool = False) -> str:
+    """Header CSV with every cell as it is, blanks at its ends too.
+
+    A cell with a line break is an error unless ``multi_line``; the table must then be read so, too.
+    """
+    options = {
+        "header": True, "escape": '"', "encoding": "UTF-8", "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    rows = canonical_text(df)
+    if not multi_line:
+        broken = F.raise_error(F.lit("a cell has a line break; write and read it with multi_line"))
+        rows = rows.select(
+            *[
+                F.when(F.col(name).contains("\n") | F.col(name).contains("\r"), broken.cast("string"))
+                .otherwise(F.col(name)).alias(name)
+                for name in contract.COLUMNS
+            ]
+        )
+    rows.write.mode(mode).options(**options).csv(path)
     return path
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """One object per line; text outside ASCII is written as it is."""
-    canonical_text(df).write.mode(mode).option("encoding", "UTF-8").json(path)
+    """One object per line; text outside ASCII is written as it is.
+
+    Boolean columns are written as JSON booleans, all others as text.
+    """
+    rows = canonical_text(df)
+    flags = [name for name, kind in df.dtypes if kind == "boolean" and name in contract.COLUMNS]
+    rows = rows.withColumns({name: F.col(name).try_cast("boolean") for name in flags}) if flags else rows
+    rows.write.mode(mode).option("encoding", "UTF-8").json(path)
     return path
 
 
@@ -108,8 +142,10 @@ def write_parquet(
 
 
 def write_transactions(
-    df: DataFrame, path: str, format: str | None = None, mode: str = "errorifexists"
+    df: DataFrame, path: str, format: str | None = None, mode: str = "errorifexists", multi_line: bool = False
 ) -> str:
     """Write by format or extension; Spark makes the folders on the way."""
-    writer = {"csv": write_csv, "json": write_json, "parquet": write_parquet}
-    return writer[format_of(path, format)](df, path, mode)
+    chosen = format_of(path, format)
+    if chosen == "csv":
+        return write_csv(df, path, mode, multi_line)
+    return write_json(df, path, mode) if chosen == "json" else write_parquet(df, path, mode)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,34 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="walletlens-")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders that were made in it.
+
+    Results that read them must have been used or written elsewhere before. Without a scope
+    intermediate tables stay until the shared folder is emptied.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in made:
+            path = files.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder that no other run uses."""
-    return f"{work_folder(spark).rstrip('/')}/walletlens/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark).rstrip('/')}/walletlens/{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

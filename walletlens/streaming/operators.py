@@ -30,7 +30,7 @@ def stream_validate(tx: DataFrame) -> DataFrame:
 
 
 def stream_dedup(tx: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """First row of each id; an id is remembered until the watermark has passed it."""
+    """One row of each id, any of a micro-batch; an id is remembered until the watermark has passed it."""
     return tx.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
