@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
+import walletlens
 from walletlens.sources.work import settle
 
 # Identity of a stored row: the hash of its file's path and its place in the file. It does
@@ -17,6 +21,23 @@ ROW_KEY = ["_file", "_index"]
 BLOCK_BITS = 16
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, once for an application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(walletlens.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="walletlens-code-")) / "walletlens.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for path in sorted(root.rglob("*.py")):
+            packed.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -27,6 +48,7 @@ def take(df: DataFrame, *names: str, key: bool = False) -> DataFrame:
     Columns are found by exact name and place. Further columns do no harm, whatever their
     names; of two columns with one name the first counts. A missing column is null text.
     """
+    ship(df.sparkSession)
     places = {}
     for place, name in enumerate(df.columns):
         places.setdefault(name, place)
