@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from walletlens.llm.common import ROW_KEY, stored, table, take
+from walletlens.llm.common import ROW_KEY, growing, stored, table, take
 from walletlens.sources.work import settle
 
 MIN_SITES = 10
@@ -88,7 +88,7 @@ def without_spread_lines(
     )
     plain = [f"d{place}" for place in range(len(names))]
     here = plain[names.index(text)]
-    joined = take(kept.toDF(*plain), *plain, key=True).join(settle(gone, "lines-gone"), ROW_KEY, "left")
+    joined = take(kept.toDF(*plain), *plain, key=True).join(growing(gone), ROW_KEY, "left")
     cut = F.array_join(
         F.filter(F.split(here, "\n"), lambda _, at: ~F.array_contains("_gone", at)), "\n"
     )
