@@ -176,6 +176,13 @@ def test_detectors_read_the_source_seldom(stored):
     assert source_scans(suppressed, stored, folder) <= 4
 
 
+def test_a_filter_before_the_row_check_reaches_the_scan(stored):
+    late = F.col("timestamp") >= F.lit("2024-01-20").cast("timestamp")
+    text = formatted(validation.failing_rows(stored, where=late))
+    assert "GreaterThanOrEqual(timestamp" in text
+    assert validation.failing_rows(stored, where=late).count() == validation.failing_rows(stored).filter(late).count()
+
+
 def test_names_are_checked_without_a_scan(spark):
     rows = typed_rows(spark, {}).drop("fees").withColumn("a.b", F.lit(1))
     states = validation.column_states(rows)

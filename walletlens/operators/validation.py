@@ -253,9 +253,16 @@ def observed(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame
     )
 
 
-def failing_rows(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame:
-    """Rows that break a rule, with the names of the rules."""
-    return observed(df, extra_rules).filter(F.size("violations") > 0)
+def failing_rows(
+    df: DataFrame, extra_rules: Mapping[str, Column] = {}, where: Column | None = None
+) -> DataFrame:
+    """Rows that break a rule, with the names of the rules.
+
+    A filter on the result stays behind the check. ``where`` is a filter on the columns of ``df``
+    that goes before it and reaches the scan.
+    """
+    rows = df if where is None else df.filter(where)
+    return observed(rows, extra_rules).filter(F.size("violations") > 0)
 
 
 def row_validation(df: DataFrame, extra_rules: Mapping[str, Column] = {}) -> DataFrame:
