@@ -228,33 +228,34 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for each node that has a link.
+    """node and label, one node of its component, for each node that has a link.
 
-    A round takes the least label of a node and its neighbours and then the label of that label.
+    In a round each node joins its smallest neighbour, and that one's; then links between joined
+    nodes go and equal links become one. So later rounds work on few links.
     """
-    ends = settle(
-        union_all([links.select("one", "other"), links.select(F.col("other").alias("one"), F.col("one").alias("other"))]),
-        "near-links",
-    )
-    labels = settle(ends.groupBy(F.col("one").alias("node")).agg(F.min("other").alias("label")), "near-labels")
-    labels = labels.select("node", F.least("node", "label").alias("label"))
-    while True:
-        around = (
-            ends.join(growing(labels.select(F.col("node").alias("other"), "label")), "other")
-            .groupBy(F.col("one").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(growing(around), "node").select(
-            "node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")
-        )
-        lower = settle(lower, "near-labels")
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        labels = settle(
-            lower.join(growing(up), "label").select("node", F.least("label", "upper").alias("label"), "changed"), "near-labels"
+    edges = settle(links.select(F.col("one").alias("node"), F.col("other").alias("peer")), "near-edges")
+    labels = None
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("peer").alias("node"), F.col("node").alias("peer")))
+        least = ends.groupBy("node").agg(F.min("peer").alias("up"))
+        up = settle(least.select("node", F.least("node", "up").alias("up")), "near-up")
+        second = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        hop = settle(up.join(growing(second), "up").select("node", F.col("top").alias("up")), "near-hop")
+        if labels is None:
+            labels = hop.select("node", F.col("up").alias("label"))
+        else:
+            moved = hop.select(F.col("node").alias("label"), "up")
+            labels = labels.join(growing(moved), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        labels = settle(labels, "near-labels")
+        far = hop.select(F.col("node").alias("peer"), F.col("up").alias("peer_up"))
+        joined = edges.join(growing(hop), "node").join(growing(far), "peer").where(F.col("up") != F.col("peer_up"))
+        edges = settle(
+            joined.select(F.least("up", "peer_up").alias("node"), F.greatest("up", "peer_up").alias("peer")).distinct(),
+            "near-edges",
         )
-        if labels.where("changed").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    if labels is None:
+        return edges.select("node", F.col("peer").alias("label"))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
