@@ -307,3 +307,40 @@ def op6_tensored_minhash(spark, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP6_SQL = f"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+') AS parts
+    FROM documents
+),
+words AS (
+    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS place, count(*) OVER (PARTITION BY doc_id) AS n
+    FROM (SELECT doc_id, unnest(parts) AS word, unnest(range(1, len(parts) + 1)) AS place FROM cut) WHERE word <> ''
+),
+shingles AS (
+    SELECT DISTINCT doc_id, shingle
+    FROM (
+        SELECT doc_id, place, n, concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS shingle
+        FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+    ) WHERE place <= greatest(1, n - {SHINGLE - 1})
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT one, other FROM common c JOIN sizes a ON a.doc_id = one JOIN sizes b ON b.doc_id = other
+    WHERE 100 * c.n >= {PERCENT} * (a.n + b.n - c.n)
+),
+ends AS (SELECT one, other FROM links UNION ALL SELECT other, one FROM links),
+reached AS (
+    SELECT doc_id, doc_id AS node FROM documents
+    UNION SELECT reached.doc_id, ends.other FROM reached JOIN ends ON reached.node = ends.one
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from walletlens.llm.capture_index import OP4_SQL, op4_merged_capture_index
 from walletlens.llm.line_dedup import OP8_SQL, op8_site_spread_lines
-from walletlens.llm.minhash_dedup import op6_tensored_minhash
+from walletlens.llm.minhash_dedup import OP6_SQL, op6_tensored_minhash
 from walletlens.llm.mixing import op10_temperature_mixing
 from walletlens.llm.packing import op1_best_two_fit
 from walletlens.llm.quality_rules import op7_hashed_ngram_quality
@@ -30,4 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_temperature_mixing": op10_temperature_mixing,
 }
 
-SQL: dict[str, str] = {"op4_merged_capture_index": OP4_SQL, "op8_site_spread_lines": OP8_SQL}
+SQL: dict[str, str] = {
+    "op4_merged_capture_index": OP4_SQL,
+    "op6_tensored_minhash": OP6_SQL,
+    "op8_site_spread_lines": OP8_SQL,
+}
