@@ -39,7 +39,7 @@ NEIGHBOURS = 4
 LEAST_EQUAL = 18
 
 # Remembered words of a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 # Shingles that are hashed at a time.
 STRIDE = 4096
 

@@ -36,8 +36,10 @@ FIT_STEPS = 120
 SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
 
-# Remembered words of a worker. Three word numbers below it fit into one 64-bit key.
-REMEMBERED = 1 << 20
+# Remembered words of a worker.
+REMEMBERED = 400_000
+# Three word numbers below this fit into one 64-bit key.
+SMALL_NUMBERS = 1 << 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -119,11 +121,11 @@ def repeated_words(numbers: np.ndarray) -> int:
     if numbers.size < 4:
         return 0
     size = int(numbers.max()) + 1
-    if size > REMEMBERED:
+    if size > SMALL_NUMBERS:
         numbers = np.unique(numbers, return_inverse=True)[1]
         size = int(numbers.max()) + 1
     pairs = numbers[:-1] * size + numbers[1:]
-    if size > REMEMBERED:
+    if size > SMALL_NUMBERS:
         pairs = np.unique(pairs, return_inverse=True)[1]
     windows = pairs[:-1] * size + numbers[2:]
     _, place, count = np.unique(windows, return_inverse=True, return_counts=True)

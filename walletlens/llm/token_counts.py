@@ -26,7 +26,7 @@ from walletlens.llm.common import table, take
 DEFAULT_LIMIT = 2048
 
 # Remembered words of a worker; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 # Characters that normalization maps one by one: tab to line end, printable ASCII, and the
 # letters and two signs from U+00C0 to U+00FF. All are below U+0300, hence already composed.
