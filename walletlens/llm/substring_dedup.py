@@ -27,7 +27,7 @@ MIN_WORDS = 50
 CUT_MASK = 0b11111 << 11
 WINDOW = 16
 # Stretches shorter than this many bytes are not compared. A passage of 50 words has nine cuts on
-# average and a shorter stretch with a probability of about one in 300.
+# average and a shorter stretch with a probability of about one in 200.
 MIN_STRETCH = 64
 
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 256, dtype=np.uint32)
