@@ -11,6 +11,10 @@ Documents of one set are one node. Inside a table, nodes of one key are ordered
 and each is compared with the next few; the order starts at another minimum in each table. So a
 key of any size gives a number of candidates in proportion to it, the most similar sets come side
 by side again and again, and no group is collected. Candidates are confirmed on full shingle sets.
+
+What the order leaves out is made up for: in each key with more nodes than are compared and more
+than one component so far, each node meets each node of another component, in blocks. A pair is
+met in the first table that it shares only.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ MINIMA = 2 * HALVES * PER_HALF
 
 # Following nodes of a key that a node is compared with.
 NEIGHBOURS = 4
+# Nodes of a block, on average, where all nodes of a key meet and where their sets do.
+BLOCK = 512
+SET_BLOCK = 128
 # Equal minima, of ``MINIMA``, below which a pair is not confirmed: 4.4 standard errors below the
 # mean at the wanted similarity.
 LEAST_EQUAL = 18
@@ -137,8 +144,8 @@ def signatures(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     )
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of digests, the smaller first, that come close in a table.
+def shared_halves(nodes: DataFrame) -> DataFrame:
+    """The half keys of each node that another node has too, left and right, with what ``nodes`` knows.
 
     ``nodes`` has digest, n_shingles, keys and marks, one row for each digest.
     """
@@ -148,27 +155,35 @@ def candidates(nodes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("at") < HALVES, F.struct("at", "key"))).alias("left"),
         F.collect_list(F.when(F.col("at") >= HALVES, F.struct("at", "key"))).alias("right"),
     )
-    paired = settle(
-        halves.where((F.size("left") > 0) & (F.size("right") > 0)).join(
-            growing(nodes.select("digest", "n_shingles", "marks")), "digest"
-        ),
-        "near-halves",
+    # Half of a half key tells nodes apart well enough where both are in one block.
+    known = nodes.select(
+        "digest", "n_shingles", "marks", F.transform("keys", lambda key: F.shiftright(key, 32).cast("int")).alias("keys")
     )
-    tables = paired.select("digest", "n_shingles", "marks", F.explode("left").alias("l"), "right").select(
-        "digest", "n_shingles", "marks", "l", F.explode("right").alias("r")
+    return settle(
+        halves.where((F.size("left") > 0) & (F.size("right") > 0)).join(growing(known), "digest"), "near-halves"
     )
-    number = F.col("l.at") * HALVES + F.col("r.at") - HALVES
-    turn = F.pmod(number * 7, F.lit(MINIMA))
-    rows = tables.select(
-        number.cast("int").alias("table"),
+
+
+def _tables(paired: DataFrame, *columns: str) -> DataFrame:
+    """A row for each table of a node: the table, l and r, and the columns."""
+    tables = paired.select(*columns, F.explode("left").alias("l"), "right").select(
+        *columns, "l", F.explode("right").alias("r")
+    )
+    return tables.select(
+        (F.col("l.at") * HALVES + F.col("r.at") - HALVES).cast("int").alias("table"),
         F.xxhash64("l.key", "r.key").alias("key"),
-        F.concat(F.substr("marks", turn + 1, F.lit(MINIMA)), F.substr("marks", F.lit(1), turn)).alias("marks"),
-        "digest",
-        "n_shingles",
+        *columns,
     )
-    ordered = rows.repartitionByRange("table", "key", "marks", "digest").sortWithinPartitions(
-        "table", "key", "marks", "digest"
+
+
+def candidates(paired: DataFrame) -> DataFrame:
+    """Distinct pairs of digests, the smaller first, that come close in a table."""
+    turn = F.pmod(F.col("table") * 7, F.lit(MINIMA))
+    rows = _tables(paired, "marks", "digest", "n_shingles").withColumn(
+        "marks", F.concat(F.substr("marks", turn + 1, F.lit(MINIMA)), F.substr("marks", F.lit(1), turn))
     )
+    # A key is in one partition: it has a hundredth of the rows at most, and is read as a stream.
+    ordered = rows.repartition("table", "key").sortWithinPartitions("table", "key", "marks", "digest")
     return ordered.mapInArrow(_neighbours, "one binary, other binary").distinct()
 
 
@@ -198,18 +213,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs whose full sets are similar enough; texts of their nodes only are read again."""
-    pairs = settle(pairs, "near-pairs")
+def texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """digest and text of each node of the pairs; no other text is read again."""
     wanted = union_all([pairs.select(F.col(name).alias("digest")) for name in ("one", "other")]).distinct()
     places = settle(nodes.select("digest", *ROW_KEY).join(growing(wanted), "digest"), "near-places")
-    texts = settle(
+    return settle(
         take(docs, text, key=True)
         .select(F.col(text).cast("binary").alias("text"), *ROW_KEY)
         .join(growing(places), ROW_KEY)
         .select("digest", "text"),
         "near-texts",
     )
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    pairs = settle(pairs, "near-pairs")
+    texts = texts_of(pairs, nodes, docs, text)
     first = texts.select(F.col("digest").alias("one"), F.col("text").alias("text_one"))
     second = texts.select(F.col("digest").alias("other"), F.col("text").alias("text_other"))
     both = pairs.join(growing(first), "one").join(growing(second), "other")
@@ -258,6 +278,112 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _meet(rows: pa.Table) -> pa.Table:
+    """The pairs of two blocks of a key, of different components, that may be similar enough."""
+    rows = rows.combine_chunks()
+    own, low, high = (rows.column(name).to_numpy() for name in ("own", "low", "high"))
+    sizes, labels = rows.column("n_shingles").to_numpy(), rows.column("mark").to_numpy()
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    keys = np.array(rows.column("keys").to_pylist(), np.int32).reshape(-1, 2 * HALVES)
+    digests = rows.column("digest").to_pylist()
+    table, ones, others = rows.column("table")[0].as_py(), [], []
+    second = np.flatnonzero(own == high)
+    for at in np.flatnonzero(own == low).tolist():
+        met = second[second > at] if low[0] == high[0] else second
+        met = met[labels[met] != labels[at]]
+        met = met[100 * np.minimum(sizes[met], sizes[at]) >= PERCENT * np.maximum(sizes[met], sizes[at])]
+        met = met[(marks[met] == marks[at]).sum(axis=1) >= LEAST_EQUAL]
+        equal = keys[met] == keys[at]
+        first = equal[:, :HALVES].argmax(axis=1) * HALVES + equal[:, HALVES:].argmax(axis=1)
+        for peer in met[first == table].tolist():
+            one, other = sorted((digests[at], digests[peer]))
+            ones.append(one), others.append(other)
+    return pa.table({"one": pa.array(ones, pa.binary()), "other": pa.array(others, pa.binary())})
+
+
+def _join_sets(pairs: pa.Table, members: pa.Table) -> pa.Table:
+    """Links between components by the pairs whose full sets are similar enough, one for each that is needed."""
+    place = {digest: at for at, digest in enumerate(members.column("digest").to_pylist())}
+    labels = members.column("label").to_pylist()
+    sets = [shingles(text) for text in members.column("text").to_pylist()]
+    up: dict[bytes, bytes] = {}
+
+    def top(label: bytes) -> bytes:
+        while (above := up.get(label, label)) != label:
+            up[label] = up.get(above, above)
+            label = above
+        return label
+
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
+    numbers = np.split(numbers, np.cumsum([found.size for found in sets])[:-1])
+    present = np.zeros(sum(found.size for found in sets), bool)
+    ordered = pairs.sort_by("one")
+    before, ones, others = None, [], []
+    for one, other in zip(ordered.column("one").to_pylist(), ordered.column("other").to_pylist()):
+        a, b = place[one], place[other]
+        if a != before:
+            if before is not None:
+                present[numbers[before]] = False
+            present[numbers[a]] = True
+            before = a
+        left, right = top(labels[a]), top(labels[b])
+        if left == right:
+            continue
+        common = int(np.count_nonzero(present[numbers[b]]))
+        if 100 * common >= PERCENT * (sets[a].size + sets[b].size - common):
+            up[left] = right
+            ones.append(left), others.append(right)
+    return pa.table({"one": pa.array(ones, pa.binary()), "other": pa.array(others, pa.binary())})
+
+
+def crowded_links(
+    paired: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text"
+) -> DataFrame | None:
+    """Links between components that only nodes have which are no neighbours in any table, as pairs
+    of labels; ``labels`` has the digest and the label of each node."""
+    known = settle(
+        paired.join(growing(labels), "digest").withColumn("mark", F.xxhash64("label")), "near-known"
+    )
+    rows = _tables(known, "digest", "mark")
+    crowds = rows.groupBy("table", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most")
+    )
+    crowds = settle(
+        crowds.where((F.col("n") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select(
+            "table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+        ),
+        "near-crowds",
+    )
+    if crowds.isEmpty():
+        return None
+    rows = settle(rows.drop("mark").join(growing(crowds), ["table", "key"]), "near-crowded")
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    met = (
+        rows.join(growing(known.select("digest", "n_shingles", "marks", "keys", "mark")), "digest")
+        .withColumn("own", own)
+        .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "table", "key", F.least("own", "peer").alias("low"), F.greatest("own", "peer").alias("high"),
+            "own", "digest", "n_shingles", "marks", "keys", "mark",
+        )
+    )
+    pairs = settle(
+        met.groupBy("table", "key", "low", "high").applyInArrow(_meet, "one binary, other binary"), "near-met"
+    )
+    if pairs.isEmpty():
+        return None
+    texts = texts_of(pairs, nodes, docs, text)
+    blocks = F.lit(-(-texts.count() // SET_BLOCK))
+    first, second = (F.pmod(F.xxhash64(name), blocks) for name in ("one", "other"))
+    dealt = pairs.select("one", "other", F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
+    cell = [F.col("low").alias("set_low"), F.col("high").alias("set_high")]
+    members = union_all([dealt.select(*cell, F.col(name).alias("digest")) for name in ("one", "other")])
+    full = members.distinct().join(growing(texts), "digest").join(growing(labels), "digest")
+    return dealt.groupBy("low", "high").cogroup(full.groupBy("set_low", "set_high")).applyInArrow(
+        _join_sets, "one binary, other binary"
+    )
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Component of each row of a stored table: the id, n_shingles, component_id, first_row and
     the row key.
@@ -272,7 +398,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     order = Window.partitionBy("digest").orderBy(*ROW_KEY)
     nodes = settle(filled.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "id"), "near-nodes")
     # A set of one shingle is similar enough to no other set.
-    links = confirmed(candidates(nodes.where("n_shingles > 1")), nodes, docs, text)
+    paired = shared_halves(nodes.where("n_shingles > 1"))
+    links = confirmed(candidates(paired), nodes, docs, text)
     labels = components(links)
     place = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
     firsts = filled.groupBy("digest").agg(F.min(place).alias("first"))
@@ -280,6 +407,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
         "digest", "first", F.coalesce("label", "digest").alias("label")
     )
     labelled = settle(labelled, "near-labelled")
+    more = crowded_links(paired, labelled.select("digest", "label"), nodes, docs, text)
+    if more is not None:
+        moved = components(more).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+        labelled = labelled.join(growing(moved), "label", "left").select(
+            "digest", "first", F.coalesce("whole", "label").alias("label")
+        )
+        labelled = settle(labelled, "near-labelled")
     best = labelled.groupBy("label").agg(F.min("first").alias("best"))
     whole = settle(labelled.join(growing(best), "label").select("digest", "best"), "near-components")
     linked = filled.join(growing(whole), "digest").select(
