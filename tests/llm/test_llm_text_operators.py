@@ -419,6 +419,25 @@ def test_passages_resist_shifts(spark):
     assert all(row.n_words >= 80 for row in got)
 
 
+def test_passages_of_short_words_and_edited_copies(spark):
+    random = np.random.default_rng(3)
+    rows, want = [], []
+    for number in range(40):
+        # One-letter words, a word group of period 3, and a text of which the first copy is edited in the middle.
+        letters = " ".join(map(chr, random.integers(97, 123, 50)))
+        period = " ".join(f"{chr(97 + number % 26)}{number} b{number} c{number}".split() * 17)
+        whole = sentence(4000 + number, 60).split()
+        edited = [*whole[:30], f"edit{number}", *whole[31:]]
+        for kind, texts in enumerate([[letters] * 2, [period] * 2, [" ".join(edited), *[" ".join(whole)] * 2]]):
+            for copy, part in enumerate(texts):
+                doc_id = 1000 * number + 10 * kind + copy
+                rows.append((doc_id, f"{sentence(doc_id, 20)} {part} {sentence(doc_id + 500000, 20)}"))
+            want.append((doc_id, doc_id - 1))
+    df = settle(spark.createDataFrame(rows, "doc_id long, text string"), "short-test")
+    got = substring_dedup.repeated_passages(df).collect()
+    assert sorted({(row.doc_id, row.first_id) for row in got}) == sorted(want)
+
+
 def test_passages_of_odd_rows(odd, empty):
     got = substring_dedup.repeated_passages(odd).collect()
     assert sorted(((row.doc_id, row.first_id) for row in got), key=repr) == [(4, 4), (5, 4)]

@@ -1,11 +1,11 @@
-"""Operator 5: passages that repeat across documents, by content-defined chunking.
-
-A gear hash rolls over the bytes of a text; where some of its bits are zero, a chunk ends. A cut
-depends on the 16 bytes before it only, so an insertion shifts no later cut. Chunks are
-deduplicated by digest: the first row that has a chunk keeps it, and stretches of chunks that
-another row had first, one after the other in both, are repeats. Each stretch is then compared
-byte by byte with its first place and lengthened as far as both texts agree, and is a passage if
-it has enough words.
+"""Operator 5: passages that repeat across documents, by content-defined word windows.
+
+Words with the blanks behind them are hashed by a gear table, and runs of words from these. Of the
+runs in each window of ``min_words`` words the one with the least hash is an anchor, so equal
+windows have an equal anchor. Around anchors that two rows share, each window of ``min_words``
+words is paired with its first row. Windows one after the other in both rows are a stretch, which is
+compared byte by byte and lengthened as far as both texts agree. So a row reports each window that
+an earlier row has too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from walletlens.llm.common import ROW_KEY, growing, stored, table, take, union_all
+from walletlens.llm.minhash_dedup import mixed
 from walletlens.sources.work import settle
 
 # A passage has this many words at least.
@@ -26,15 +27,15 @@ MIN_WORDS = 50
 # Bits 11 to 15 of the hash end a chunk where they are zero: 32 bytes on average.
 CUT_MASK = 0b11111 << 11
 WINDOW = 16
-# Stretches shorter than this many bytes are not compared. A passage of 50 words has nine cuts on
-# average and a shorter stretch with a probability of about one in 200.
-MIN_STRETCH = 64
 
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 256, dtype=np.uint32)
+GEAR_WORDS = np.random.Generator(np.random.PCG64(6)).integers(0, 2**64, 256, dtype=np.uint64)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cuts(text: bytes) -> np.ndarray:
-    """Ends of the chunks of a text, the last one its length."""
+    """Ends of the chunks of a text, the last one its length. Passages are found by word windows, without it."""
     if not text:
         return np.empty(0, np.int64)
     # The hash of the last 16 bytes, by sums over 1, 2, 4, 8 and 16 bytes.
@@ -53,45 +54,51 @@ def cuts(text: bytes) -> np.ndarray:
     return ends if ends.size and ends[-1] == len(text) else np.append(ends, len(text))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct chunk digests of each row."""
-    for batch in batches:
-        rows, found = [], []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            start, own = 0, set()
-            for end in cuts(text).tolist():
-                own.add(xxhash.xxh64_intdigest(text[start:end]))
-                start = end
-            found += own
-            rows += [row] * len(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(found, np.uint64).astype(np.int64)), pa.array(rows, pa.int64())], ["chunk", "row"]
-        )
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All chunks of each row, with two digests, ordinal, start and end."""
-    for batch in batches:
-        takes, chunk, check, place, first, last = [], [], [], [], [], []
-        for row, text in enumerate(batch.column(2).to_pylist()):
-            ends = cuts(text).tolist()
-            starts = [0, *ends[:-1]]
-            parts = [text[start:end] for start, end in zip(starts, ends)]
-            chunk += [xxhash.xxh64_intdigest(part) for part in parts]
-            check += [xxhash.xxh64_intdigest(part, 1) for part in parts]
-            place += range(len(ends))
-            first += starts
-            last += ends
-            takes += [row] * len(ends)
-        index = pa.array(takes, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(index), batch.column(1).take(index),
-                *(pa.array(np.array(values, np.uint64).astype(np.int64)) for values in (chunk, check)),
-                *(pa.array(values, pa.int64()) for values in (place, first, last)),
-            ],
-            [*ROW_KEY, "chunk", "check", "place", "start", "end"],
-        )
+class Words:
+    """Starts, ends and hashes of the words of a text."""
+
+    def __init__(self, text: bytes) -> None:
+        data = np.frombuffer(text, np.uint8)
+        blank = BLANK[data]
+        edges = np.flatnonzero(np.diff(~blank, prepend=False, append=False))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        if not self.starts.size:
+            return
+        first = self.starts[0]
+        lengths = np.diff(np.append(self.starts, len(text)))
+        powers = np.multiply.accumulate(np.full(lengths.max(), _MULTIPLIER))
+        offsets = np.arange(first, len(text)) - np.repeat(self.starts, lengths)
+        values = GEAR_WORDS[data[first:]] * powers[offsets]
+        # A word with the blanks behind it, and alone.
+        self.tokens = mixed(np.add.reduceat(values, self.starts - first))
+        self.words = mixed(np.add.reduceat(np.where(blank[first:], np.uint64(0), values), self.starts - first))
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hashes of all runs of so many words, by runs of 1, 2, 4 ... words."""
+        count = self.starts.size - width + 1
+        made, done, level, step = np.zeros(count, np.uint64), 0, self.tokens, 1
+        while step < width:
+            if (width - 1) & step:
+                made = mixed(made * _MULTIPLIER + level[done : done + count])
+                done += step
+            level = mixed(level[:-step] * _MULTIPLIER + level[step:])
+            step *= 2
+        return mixed(made * _MULTIPLIER + self.words[done : done + count])
+
+    def anchors(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the anchors."""
+        if self.starts.size < min_words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        run = (min_words + 1) // 2
+        found = self.runs(run)
+        windows = np.lib.stride_tricks.sliding_window_view(found, min_words - run + 1)
+        places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        return places, found[places].view(np.int64)
+
+
+def _columns(lists: list[tuple], width: int) -> list[pa.Array]:
+    parts = list(zip(*lists)) or [[np.empty(0, np.int64)]] * width
+    return [pa.array(np.concatenate(part)) for part in parts]
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -143,17 +150,69 @@ def repeated_passages(
     plain = take(docs, id_column, text, key=True)
     filled = plain.where(F.octet_length(text) > 0)
     body = F.col(text).cast("binary").alias("text")
-    digests = filled.select(F.xxhash64(*ROW_KEY).alias("row"), body).mapInArrow(_digests, "chunk long, row long")
+    run = (min_words + 1) // 2
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct anchors of each row."""
+        for batch in batches:
+            found = []
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.unique(Words(value).anchors(min_words)[1])
+                found.append((own, np.full(own.size, row, np.int64)))
+            yield pa.RecordBatch.from_arrays(_columns(found, 2), ["chunk", "row"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All anchors of each row."""
+        for batch in batches:
+            found = []
+            for row, value in enumerate(batch.column(2).to_pylist()):
+                places, own = Words(value).anchors(min_words)
+                found.append((np.full(own.size, row, np.int64), own, places))
+            rows, own, places = _columns(found, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), own, places], [*ROW_KEY, "chunk", "at"]
+            )
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each row that hold one of its shared anchors, with two digests, ordinal, start and end."""
+        for batch in batches:
+            found = []
+            for row, (value, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                words = Words(value)
+                first = np.array(at)[:, None] - np.arange(min_words - run + 1)
+                place = np.unique(first[(first >= 0) & (first <= words.starts.size - min_words)])
+                sums = np.append(np.uint64(0), np.cumsum(words.tokens))
+                check = (sums[place + min_words - 1] - sums[place]).view(np.int64)
+                chunk = words.runs(min_words)[place].view(np.int64)
+                found.append(
+                    (np.full(place.size, row, np.int64), chunk, check, place,
+                     words.starts[place], words.ends[place + min_words - 1])
+                )
+            rows, *values = _columns(found, 6)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name).take(rows) for name in (*ROW_KEY, "id")), *values],
+                [*ROW_KEY, "id", "chunk", "check", "place", "start", "end"],
+            )
+
+    anchors = filled.select(F.xxhash64(*ROW_KEY).alias("row"), body).mapInArrow(digests, "chunk long, row long")
     shared = settle(
-        digests.groupBy("chunk").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("chunk"),
+        anchors.groupBy("chunk").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("chunk"),
         "chunks-shared",
     )
-    chunks = filled.select(*ROW_KEY, body).mapInArrow(
-        _chunks, "_file long, _index long, chunk long, check long, place long, start long, end long"
+    places = filled.select(*ROW_KEY, body).mapInArrow(placed, "_file long, _index long, chunk long, at long")
+    marked = settle(
+        places.join(growing(shared), "chunk").groupBy(*ROW_KEY).agg(F.collect_list("at").alias("at")), "chunks-marked"
+    )
+    kind = plain.schema[id_column].dataType.simpleString()
+    known = settle(
+        plain.select(*ROW_KEY, body, F.col(id_column).alias("id")).join(growing(marked), ROW_KEY)
+        .select(*ROW_KEY, "text", "at", "id")
+        .mapInArrow(
+            windows,
+            f"_file long, _index long, id {kind}, chunk long, check long, place long, start long, end long",
+        ),
+        "chunks-known",
     )
-    again = settle(chunks.join(growing(shared), "chunk"), "chunks-again")
-    ids = settle(plain.select(F.col(id_column).alias("id"), *ROW_KEY), "chunks-ids")
-    known = settle(again.join(growing(ids), ROW_KEY), "chunks-known")
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY, "start")
     firsts = known.groupBy("chunk", "check").agg(F.min(order).alias("first"))
     later = (
@@ -169,7 +228,6 @@ def repeated_passages(
         later.withColumn("island", F.col("place") - turn)
         .groupBy(*ROW_KEY, *side, "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .where(F.col("end") - F.col("start") >= MIN_STRETCH)
     )
     pairs = settle(
         stretches.groupBy(*ROW_KEY, "first_file", "first_index").agg(
@@ -217,7 +275,6 @@ def repeated_passages(
                 ["id", "first_id", *ROW_KEY, "start", "length", "n_words", "first_start"],
             )
 
-    kind = plain.schema[id_column].dataType.simpleString()
     made = both.select("id", "first_id", *ROW_KEY, "stretches", "text", "first_text").mapInArrow(
         compare,
         f"id {kind}, first_id {kind}, _file long, _index long, start long, length long, n_words long, first_start long",
