@@ -12,9 +12,12 @@ and each is compared with the next few; the order starts at another minimum in e
 key of any size gives a number of candidates in proportion to it, the most similar sets come side
 by side again and again, and no group is collected. Candidates are confirmed on full shingle sets.
 
-What the order leaves out is made up for: in each key with more nodes than are compared and more
-than one component so far, each node meets each node of another component, in blocks. A pair is
-met in the first table that it shares only.
+What the order leaves out is made up for. Keys with more nodes than are compared and more than one
+component so far are crowds; nodes that crowds connect are a family. The full sets of a family are
+dealt to a few blocks, and all pairs of two blocks that are in different components are compared
+inside one task: tiles of pairs that cannot be similar enough by their sizes and minima are passed
+over, the sets of the rest are intersected as products of matrices. A task joins components as
+it finds links and lets out one link for each join, so what leaves it grows with the family only.
 """
 
 from __future__ import annotations
@@ -38,9 +41,15 @@ MINIMA = 2 * HALVES * PER_HALF
 
 # Following nodes of a key that a node is compared with.
 NEIGHBOURS = 4
-# Nodes of a block, on average, where all nodes of a key meet and where their sets do.
-BLOCK = 512
-SET_BLOCK = 128
+# Blocks of a family with more nodes than ``FEW``; more only where a block would hold more than
+# ``BLOCK_SHINGLES`` shingles on average. A set is sent once for each block of its family.
+BLOCKS = 8
+FEW = 512
+BLOCK_SHINGLES = 1 << 21
+# Nodes whose pairs are compared at a time, columns of a product, and pairs that are not worth one.
+TILE = 256
+COLUMNS = 4096
+SINGLY = 32
 # Equal minima, of ``MINIMA``, below which a pair is not confirmed: 4.4 standard errors below the
 # mean at the wanted similarity.
 LEAST_EQUAL = 18
@@ -155,10 +164,7 @@ def shared_halves(nodes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("at") < HALVES, F.struct("at", "key"))).alias("left"),
         F.collect_list(F.when(F.col("at") >= HALVES, F.struct("at", "key"))).alias("right"),
     )
-    # Half of a half key tells nodes apart well enough where both are in one block.
-    known = nodes.select(
-        "digest", "n_shingles", "marks", F.transform("keys", lambda key: F.shiftright(key, 32).cast("int")).alias("keys")
-    )
+    known = nodes.select("digest", "n_shingles", "marks")
     return settle(
         halves.where((F.size("left") > 0) & (F.size("right") > 0)).join(growing(known), "digest"), "near-halves"
     )
@@ -278,62 +284,95 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _meet(rows: pa.Table) -> pa.Table:
-    """The pairs of two blocks of a key, of different components, that may be similar enough."""
+class Tiles:
+    """The sets of a block, cut into tiles, with distinct shingles of each tile."""
+
+    def __init__(self, members: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.tiles = [members[start : start + TILE] for start in range(0, members.size, TILE)]
+        self.sets = sets
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def shingles(self, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles, and the place there and the row of each shingle of each set."""
+        if tile not in self.known:
+            own = [self.sets[member] for member in self.tiles[tile].tolist()]
+            values, place = np.unique(np.concatenate(own), return_inverse=True)
+            rows = np.repeat(np.arange(len(own), dtype=np.int32), [found.size for found in own])
+            self.known[tile] = values, place.astype(np.int32), rows
+        return self.known[tile]
+
+
+def _common(left: Tiles, a: int, right: Tiles, b: int) -> np.ndarray:
+    """Sizes of the intersections of all sets of two tiles."""
+    values, place, rows = left.shingles(a)
+    other_values, other_place, other_rows = right.shingles(b)
+    shared, at, other_at = np.intersect1d(values, other_values, assume_unique=True, return_indices=True)
+    common = np.zeros((left.tiles[a].size, right.tiles[b].size), np.float32)
+    column, other_column = np.full(values.size, -1, np.int64), np.full(other_values.size, -1, np.int64)
+    column[at], other_column[other_at] = np.arange(shared.size), np.arange(shared.size)
+    column, other_column = column[place], other_column[other_place]
+    for start in range(0, shared.size, COLUMNS):
+        parts = []
+        for found, row, count in ((column, rows, common.shape[0]), (other_column, other_rows, common.shape[1])):
+            inside = np.flatnonzero((found >= start) & (found < start + COLUMNS))
+            part = np.zeros((count, min(COLUMNS, shared.size - start)), np.float32)
+            part[row[inside], found[inside] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return common.astype(np.int64)
+
+
+def _join_blocks(rows: pa.Table) -> pa.Table:
+    """Links between components of two blocks of a family, one for each join of two components."""
     rows = rows.combine_chunks()
     own, low, high = (rows.column(name).to_numpy() for name in ("own", "low", "high"))
-    sizes, labels = rows.column("n_shingles").to_numpy(), rows.column("mark").to_numpy()
+    names, roots = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True)
     marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, MINIMA)
-    keys = np.array(rows.column("keys").to_pylist(), np.int32).reshape(-1, 2 * HALVES)
-    digests = rows.column("digest").to_pylist()
-    table, ones, others = rows.column("table")[0].as_py(), [], []
-    second = np.flatnonzero(own == high)
-    for at in np.flatnonzero(own == low).tolist():
-        met = second[second > at] if low[0] == high[0] else second
-        met = met[labels[met] != labels[at]]
-        met = met[100 * np.minimum(sizes[met], sizes[at]) >= PERCENT * np.maximum(sizes[met], sizes[at])]
-        met = met[(marks[met] == marks[at]).sum(axis=1) >= LEAST_EQUAL]
-        equal = keys[met] == keys[at]
-        first = equal[:, :HALVES].argmax(axis=1) * HALVES + equal[:, HALVES:].argmax(axis=1)
-        for peer in met[first == table].tolist():
-            one, other = sorted((digests[at], digests[peer]))
-            ones.append(one), others.append(other)
+    sets = [np.frombuffer(found, np.uint64) for found in rows.column("shingles").to_pylist()]
+    sizes = np.array([found.size for found in sets], np.int64)
+    order = np.lexsort((sizes, roots))
+    left = Tiles(order[own[order] == low[order]], sets)
+    right = left if low[0] == high[0] else Tiles(order[own[order] == high[order]], sets)
+    ones, others = [], []
+    for a, first in enumerate(left.tiles):
+        for b in range(a if right is left else 0, len(right.tiles)):
+            second = right.tiles[b]
+            good = roots[first][:, None] != roots[second][None, :]
+            good &= 100 * np.minimum.outer(sizes[first], sizes[second]) >= PERCENT * np.maximum.outer(sizes[first], sizes[second])
+            if not good.any():
+                continue
+            equal = np.zeros(good.shape, np.uint8)
+            for turn in range(MINIMA):
+                equal += marks[first, turn][:, None] == marks[second, turn][None, :]
+            good &= equal >= LEAST_EQUAL
+            found = np.argwhere(good)
+            if len(found) <= SINGLY:
+                common = [np.intersect1d(sets[first[i]], sets[second[j]], assume_unique=True).size for i, j in found]
+            else:
+                common = _common(left, a, right, b)[found[:, 0], found[:, 1]]
+            one, other = first[found[:, 0]], second[found[:, 1]]
+            common = np.array(common, np.int64)
+            enough = 100 * common >= PERCENT * (sizes[one] + sizes[other] - common)
+            for i, j in zip(one[enough].tolist(), other[enough].tolist()):
+                if roots[i] != roots[j]:
+                    ones.append(names[roots[i]]), others.append(names[roots[j]])
+                    roots[roots == roots[i]] = roots[j]
     return pa.table({"one": pa.array(ones, pa.binary()), "other": pa.array(others, pa.binary())})
 
 
-def _join_sets(pairs: pa.Table, members: pa.Table) -> pa.Table:
-    """Links between components by the pairs whose full sets are similar enough, one for each that is needed."""
-    place = {digest: at for at, digest in enumerate(members.column("digest").to_pylist())}
-    labels = members.column("label").to_pylist()
-    sets = [shingles(text) for text in members.column("text").to_pylist()]
-    up: dict[bytes, bytes] = {}
-
-    def top(label: bytes) -> bytes:
-        while (above := up.get(label, label)) != label:
-            up[label] = up.get(above, above)
-            label = above
-        return label
-
-    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
-    numbers = np.split(numbers, np.cumsum([found.size for found in sets])[:-1])
-    present = np.zeros(sum(found.size for found in sets), bool)
-    ordered = pairs.sort_by("one")
-    before, ones, others = None, [], []
-    for one, other in zip(ordered.column("one").to_pylist(), ordered.column("other").to_pylist()):
-        a, b = place[one], place[other]
-        if a != before:
-            if before is not None:
-                present[numbers[before]] = False
-            present[numbers[a]] = True
-            before = a
-        left, right = top(labels[a]), top(labels[b])
-        if left == right:
-            continue
-        common = int(np.count_nonzero(present[numbers[b]]))
-        if 100 * common >= PERCENT * (sets[a].size + sets[b].size - common):
-            up[left] = right
-            ones.append(left), others.append(right)
-    return pa.table({"one": pa.array(ones, pa.binary()), "other": pa.array(others, pa.binary())})
+def _families(paired: DataFrame) -> DataFrame | None:
+    """place and family of the nodes in crowds; ``paired`` has the mark of each node's component."""
+    rows = _tables(paired, "mark", "place")
+    crowds = rows.groupBy("table", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"), F.min("place").alias("first")
+    )
+    crowds = settle(
+        crowds.where((F.col("n") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select("table", "key", "first"), "near-crowds"
+    )
+    if crowds.isEmpty():
+        return None
+    links = rows.join(growing(crowds), ["table", "key"]).where(F.col("place") != F.col("first"))
+    return components(links.select(F.col("place").alias("one"), F.col("first").alias("other")).distinct())
 
 
 def crowded_links(
@@ -342,46 +381,44 @@ def crowded_links(
     """Links between components that only nodes have which are no neighbours in any table, as pairs
     of labels; ``labels`` has the digest and the label of each node."""
     known = settle(
-        paired.join(growing(labels), "digest").withColumn("mark", F.xxhash64("label")), "near-known"
-    )
-    rows = _tables(known, "digest", "mark")
-    crowds = rows.groupBy("table", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most")
-    )
-    crowds = settle(
-        crowds.where((F.col("n") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select(
-            "table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+        paired.join(growing(labels), "digest").withColumns(
+            {"mark": F.xxhash64("label"), "place": F.xxhash64("digest")}
         ),
-        "near-crowds",
+        "near-known",
     )
-    if crowds.isEmpty():
+    families = _families(known)
+    if families is None:
         return None
-    rows = settle(rows.drop("mark").join(growing(crowds), ["table", "key"]), "near-crowded")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    met = (
-        rows.join(growing(known.select("digest", "n_shingles", "marks", "keys", "mark")), "digest")
-        .withColumn("own", own)
-        .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "table", "key", F.least("own", "peer").alias("low"), F.greatest("own", "peer").alias("high"),
-            "own", "digest", "n_shingles", "marks", "keys", "mark",
-        )
+    families = families.select(F.col("node").alias("place"), F.col("label").alias("family"))
+    members = (
+        known.select("place", "digest", "n_shingles", "marks", "label")
+        .join(growing(families), "place")
+        .join(growing(nodes.select("digest", *ROW_KEY)), "digest")
+        .select("family", "digest", "n_shingles", "marks", "label", *ROW_KEY)
     )
-    pairs = settle(
-        met.groupBy("table", "key", "low", "high").applyInArrow(_meet, "one binary, other binary"), "near-met"
+    members = settle(members, "near-members")
+    asked = F.greatest(
+        F.when(F.count(F.lit(1)) > FEW, BLOCKS).otherwise(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+    ).cast("int")
+    sizes = members.groupBy("family").agg(asked.alias("blocks"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(value).tobytes() for value in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], [*batch.schema.names[1:], "shingles"])
+
+    texts = take(docs, text, key=True).select(F.col(text).cast("binary").alias("text"), *ROW_KEY)
+    placed = members.join(growing(sizes), "family").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    sets = settle(
+        texts.join(growing(placed), ROW_KEY)
+        .select("text", "family", "own", "blocks", "marks", "label")
+        .mapInArrow(shingled, "family long, own int, blocks int, marks binary, label binary, shingles binary"),
+        "near-sets",
     )
-    if pairs.isEmpty():
-        return None
-    texts = texts_of(pairs, nodes, docs, text)
-    blocks = F.lit(-(-texts.count() // SET_BLOCK))
-    first, second = (F.pmod(F.xxhash64(name), blocks) for name in ("one", "other"))
-    dealt = pairs.select("one", "other", F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
-    cell = [F.col("low").alias("set_low"), F.col("high").alias("set_high")]
-    members = union_all([dealt.select(*cell, F.col(name).alias("digest")) for name in ("one", "other")])
-    full = members.distinct().join(growing(texts), "digest").join(growing(labels), "digest")
-    return dealt.groupBy("low", "high").cogroup(full.groupBy("set_low", "set_high")).applyInArrow(
-        _join_sets, "one binary, other binary"
+    met = sets.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", F.least("own", "peer").alias("low"), F.greatest("own", "peer").alias("high"), "own", "marks", "label", "shingles"
     )
+    return met.groupBy("family", "low", "high").applyInArrow(_join_blocks, "one binary, other binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
