@@ -2,7 +2,7 @@
 
 Words with the blanks behind them are hashed by a gear table, and runs of words from these. Of the
 runs in each window of ``min_words`` words the one with the least hash is an anchor, so equal
-windows have an equal anchor. Around anchors that two rows share, each window of ``min_words``
+windows have an equal anchor. Around anchors that two texts share, each window of ``min_words``
 words is paired with its first row. Windows one after the other in both rows are a stretch, which is
 compared byte by byte and lengthened as far as both texts agree. So a row reports each window that
 an earlier row has too.
@@ -137,6 +137,12 @@ def _whole_words(text: bytes, low: int, high: int) -> int:
     return found
 
 
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text."""
+    edges = np.flatnonzero(np.diff(~BLANK[np.frombuffer(text, np.uint8)], prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
 def repeated_passages(
     docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -145,15 +151,20 @@ def repeated_passages(
 
     ``docs`` is a stored table. Rows are in the order of the id (null ids last), then of the row
     key. A row that repeats as a whole is one passage; repeats inside one row are none. Passages of
-    a row may overlap if they come from different rows. Null and empty texts have none.
+    a row may overlap if they come from different rows. Null and empty texts have none; an empty table
+    gives no rows; further columns do no harm, whatever their names.
+
+    Equal texts are one node: only the first row of each goes through the windows, and the others
+    repeat it as a whole. A window is sent as its hash, the number of its row and its place there.
     """
     plain = take(docs, id_column, text, key=True)
     filled = plain.where(F.octet_length(text) > 0)
     body = F.col(text).cast("binary").alias("text")
+    kind = plain.schema[id_column].dataType.simpleString()
     run = (min_words + 1) // 2
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct anchors of each row."""
+        """The distinct anchors of each row, with the hash of its text."""
         for batch in batches:
             found = []
             for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -170,92 +181,93 @@ def repeated_passages(
                 found.append((np.full(own.size, row, np.int64), own, places))
             rows, own, places = _columns(found, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), own, places], [*ROW_KEY, "chunk", "at"]
+                [batch.column(0).take(rows), batch.column(1).take(rows), own, places.cast(pa.int32())], [*ROW_KEY, "chunk", "at"]
             )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of each row that hold one of its shared anchors, with two digests, ordinal, start and end."""
+        """Hash, row and place of the windows that hold one of the shared anchors of their row."""
         for batch in batches:
             found = []
-            for row, (value, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for row, value, at in zip(*(batch.column(place).to_pylist() for place in range(3))):
                 words = Words(value)
                 first = np.array(at)[:, None] - np.arange(min_words - run + 1)
                 place = np.unique(first[(first >= 0) & (first <= words.starts.size - min_words)])
-                sums = np.append(np.uint64(0), np.cumsum(words.tokens))
-                check = (sums[place + min_words - 1] - sums[place]).view(np.int64)
-                chunk = words.runs(min_words)[place].view(np.int64)
-                found.append(
-                    (np.full(place.size, row, np.int64), chunk, check, place,
-                     words.starts[place], words.ends[place + min_words - 1])
-                )
-            rows, *values = _columns(found, 6)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name).take(rows) for name in (*ROW_KEY, "id")), *values],
-                [*ROW_KEY, "id", "chunk", "check", "place", "start", "end"],
-            )
+                found.append((words.runs(min_words)[place].view(np.int64), np.full(place.size, row, np.int64), place))
+            chunk, rows, place = _columns(found, 3)
+            yield pa.RecordBatch.from_arrays([chunk, rows, place.cast(pa.int32())], ["chunk", "row", "place"])
 
-    anchors = filled.select(F.xxhash64(*ROW_KEY).alias("row"), body).mapInArrow(digests, "chunk long, row long")
+    order = [F.col("id").isNull(), F.col("id"), *map(F.col, ROW_KEY)]
+    rows = settle(
+        filled.select(F.col(id_column).alias("id"), *ROW_KEY, F.unhex(F.md5(text)).alias("whole")), "chunks-rows"
+    )
+    firsts = rows.groupBy("whole").agg(
+        F.min(F.struct(order[0].alias("none"), "id", *ROW_KEY)).alias("first"), F.count(F.lit(1)).alias("copies")
+    )
+    same = (F.col("first._file") == F.col("_file")) & (F.col("first._index") == F.col("_index"))
+    # The number of a row keeps the order: rows are dealt by ranges and sorted there.
+    nodes = settle(
+        firsts.select("first.id", "first._file", "first._index")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("row", F.monotonically_increasing_id()),
+        "chunks-nodes",
+    )
+    anchors = filled.select(F.xxhash64(text).alias("row"), body).mapInArrow(digests, "chunk long, row long")
     shared = settle(
         anchors.groupBy("chunk").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("chunk"),
         "chunks-shared",
     )
-    places = filled.select(*ROW_KEY, body).mapInArrow(placed, "_file long, _index long, chunk long, at long")
+    places = filled.select(*ROW_KEY, body).mapInArrow(placed, "_file long, _index long, chunk long, at int")
     marked = settle(
-        places.join(growing(shared), "chunk").groupBy(*ROW_KEY).agg(F.collect_list("at").alias("at")), "chunks-marked"
+        places.join(growing(shared), "chunk").groupBy(*ROW_KEY).agg(F.collect_list("at").alias("at"))
+        .join(growing(nodes.select(*ROW_KEY, "row")), ROW_KEY),
+        "chunks-marked",
     )
-    kind = plain.schema[id_column].dataType.simpleString()
     known = settle(
-        plain.select(*ROW_KEY, body, F.col(id_column).alias("id")).join(growing(marked), ROW_KEY)
-        .select(*ROW_KEY, "text", "at", "id")
-        .mapInArrow(
-            windows,
-            f"_file long, _index long, id {kind}, chunk long, check long, place long, start long, end long",
-        ),
+        plain.select(*ROW_KEY, body).join(growing(marked), ROW_KEY).select("row", "text", "at")
+        .mapInArrow(windows, "chunk long, row long, place int"),
         "chunks-known",
     )
-    order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY, "start")
-    firsts = known.groupBy("chunk", "check").agg(F.min(order).alias("first"))
+    # Both uses below read this one shuffle.
+    met = known.repartition("chunk")
+    leading = met.groupBy("chunk").agg(F.min(F.struct("row", "place")).alias("first"))
     later = (
-        known.join(growing(firsts), ["chunk", "check"])
-        .where((F.col("first._file") != F.col("_file")) | (F.col("first._index") != F.col("_index")))
-        .withColumn("shift", F.col("first.start") - F.col("start"))
-        .select(*ROW_KEY, "place", "start", "end", F.col("first._file").alias("first_file"),
-                F.col("first._index").alias("first_index"), "shift")
+        met.join(growing(leading), "chunk")
+        .where(F.col("first.row") != F.col("row"))
+        .select("row", "place", F.col("first.row").alias("first_row"), (F.col("first.place") - F.col("place")).alias("shift"))
     )
-    side = ["first_file", "first_index", "shift"]
-    turn = F.row_number().over(Window.partitionBy(*ROW_KEY, *side).orderBy("place"))
-    stretches = (
-        later.withColumn("island", F.col("place") - turn)
-        .groupBy(*ROW_KEY, *side, "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    side = ["row", "first_row", "shift"]
+    turn = F.row_number().over(Window.partitionBy(*side).orderBy("place"))
+    stretches = later.withColumn("island", F.col("place") - turn).groupBy(*side, "island").agg(
+        F.min("place").alias("low"), F.max("place").alias("high")
     )
     pairs = settle(
-        stretches.groupBy(*ROW_KEY, "first_file", "first_index").agg(
-            F.array_sort(F.collect_list(F.struct("start", "end", "shift"))).alias("stretches")
+        stretches.groupBy("row", "first_row").agg(
+            F.array_sort(F.collect_list(F.struct("low", "high", "shift"))).alias("stretches")
         ),
         "chunks-pairs",
     )
-    wanted = union_all(
-        [pairs.select(*ROW_KEY), pairs.select(F.col("first_file").alias("_file"), F.col("first_index").alias("_index"))]
-    ).distinct()
+    wanted = union_all([pairs.select("row"), pairs.select(F.col("first_row").alias("row"))]).distinct()
+    used = settle(nodes.join(growing(wanted), "row"), "chunks-used")
     texts = settle(
-        plain.select(F.col(id_column).alias("id"), body, *ROW_KEY).join(growing(wanted), ROW_KEY),
-        "chunks-texts",
+        plain.select(body, *ROW_KEY).join(growing(used), ROW_KEY).select("row", "id", *ROW_KEY, "text"), "chunks-texts"
     )
     first_texts = texts.select(
-        F.col("_file").alias("first_file"), F.col("_index").alias("first_index"),
-        F.col("id").alias("first_id"), F.col("text").alias("first_text"),
+        F.col("row").alias("first_row"), F.col("id").alias("first_id"), F.col("text").alias("first_text")
     )
-    both = pairs.join(growing(texts), ROW_KEY).join(growing(first_texts), ["first_file", "first_index"])
+    both = pairs.join(growing(texts), "row").join(growing(first_texts), "first_row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             takes, values = [], []
             lists, ones, others = (batch.column(name).to_pylist() for name in ("stretches", "text", "first_text"))
             for row, (found, one, other) in enumerate(zip(lists, ones, others)):
+                starts, ends = word_spans(one)
+                first_starts = word_spans(other)[0]
                 seen: dict[int, int] = {}
                 for part in found:
-                    start, end, shift = part["start"], part["end"], part["shift"]
+                    start, end = int(starts[part["low"]]), int(ends[part["high"] + min_words - 1])
+                    shift = int(first_starts[part["low"] + part["shift"]]) - start
                     if seen.get(shift, 0) >= end or one[start:end] != other[start + shift : end + shift]:
                         continue
                     low, high = common_stretch(one, start, end, other, shift)
@@ -279,7 +291,18 @@ def repeated_passages(
         compare,
         f"id {kind}, first_id {kind}, _file long, _index long, start long, length long, n_words long, first_start long",
     )
-    return made.withColumnRenamed("id", id_column)
+    copies = rows.join(growing(firsts.where("copies > 1")), "whole").where(~same)
+    counted = F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    whole = (
+        plain.select(F.col(text), *ROW_KEY)
+        .join(growing(copies.select("id", F.col("first.id").alias("first_id"), *ROW_KEY)), ROW_KEY)
+        .select(
+            "id", "first_id", *ROW_KEY, F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("length"),
+            counted.alias("n_words"), F.lit(0).cast("long").alias("first_start"),
+        )
+        .where(F.col("n_words") >= min_words)
+    )
+    return made.unionByName(whole).withColumnRenamed("id", id_column)
 
 
 def op5_gear_chunk_passages(spark, folder: str) -> DataFrame:
