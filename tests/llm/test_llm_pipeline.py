@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import collections
+import functools
 
 import corpus_pipeline
 import __spark_entry__
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from walletlens.llm import registry
 from walletlens.sources.work import settle
@@ -114,3 +116,18 @@ def test_nothing_else_imports_the_package():
     for path in [*root.glob("walletlens/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
         if "llm" not in path.parts:
             assert "walletlens.llm" not in path.read_text()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Own names of the stages as further columns, no n_chars, and an empty table."""
+    names = ["n_words", "probability", "_text", "kept", "base_failed", "word_chars", "n_tokens", "weight", "epoch", "label", "digest", "_file", "site"]
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").drop("n_chars")
+    rows = rows.select("*", *[F.concat(F.lit(f"{name}-"), F.col("doc_id")).alias(name) for name in names])
+    for docs in (settle(rows, "further"), settle(rows.limit(0), "further-none")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            result = settle(stage(spark, docs, SMALL), "further-stage")
+            assert result.columns == rows.columns, name
+            wrong = [F.col(own) != F.concat(F.lit(f"{own}-"), F.col("doc_id")) for own in names]
+            assert result.where(functools.reduce(lambda one, other: one | other, wrong)).count() == 0, name
+            docs = result
+        corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()

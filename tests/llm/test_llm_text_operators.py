@@ -388,6 +388,37 @@ def test_true_partners_among_near_misses(spark):
     assert found_components(minhash_dedup.near_duplicates(df)) == want
 
 
+def test_crowds_grow_in_proportion(spark, monkeypatch):
+    """Of near misses, twice the texts give at most about twice the rows in every table that is written."""
+    random, counts = np.random.default_rng(9), []
+    base = sentence(900, 400).split()
+    rows = []
+    for number in range(400):
+        words = list(base)
+        for at in random.choice(len(words), 16, replace=False):
+            words[at] = f"edit{number}x{at}"
+        rows.append((number, " ".join(words)))
+    monkeypatch.setattr(minhash_dedup, "FEW", 64)
+    monkeypatch.setattr(minhash_dedup, "settle", lambda df, label: noted(settle(df, label), label))
+
+    def noted(table, label):
+        sums[label] += table.count()
+        return table
+
+    for size in (200, 400):
+        sums = collections.Counter()
+        df = settle(spark.createDataFrame(rows[:size], "doc_id long, text string"), "family")
+        got = found_components(minhash_dedup.near_duplicates(df))
+        assert got == brute_components(rows[:size])
+        counts.append(sums)
+    assert counts[1]["near-members"] == 400
+    # What a text has of a table at most once is below its limit for so few texts, and still fills up.
+    most = minhash_dedup.HALVES**2 * 400
+    assert counts[1].pop("near-pairs") <= minhash_dedup.NEIGHBOURS * most and counts[1].pop("near-edges") <= most
+    for label, n in counts[1].items():
+        assert n <= 2.2 * counts[0][label] + 100, label
+
+
 # Passages
 
 

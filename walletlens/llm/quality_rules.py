@@ -297,6 +297,17 @@ def scored(
     return made.withColumn("base_failed", failed).withColumn("kept", verdict)
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that ``scored`` keeps, with all their columns as they were, whatever their names.
+
+    Null and empty texts are not kept; an empty table gives no rows.
+    """
+    names = docs.columns
+    plain = [f"d{place}" for place in range(len(names))]
+    found = scored(docs.toDF(*plain), model, tuple(plain), plain[names.index(text)], threshold)
+    return found.where("kept").select(*plain).toDF(*names)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
