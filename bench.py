@@ -45,6 +45,9 @@ VARIANTS = {
     "rule_label",
     "stream_hourly",
     "stream_tontine_estimate",
+    "stream_exact_split",
+    "stream_exact_suppressed",
+    "circle_turns",
     "text_csv_round_trip",
     "text_json_round_trip",
 }

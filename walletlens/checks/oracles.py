@@ -406,6 +406,49 @@ _BURST = _sequence("burst", _SMALL, "sender_id", 86400, "frame_n >= 4")
 _INCOMING = _sequence("incoming", _SMALL, "receiver_id", 86400, "frame_n >= 4")
 _CIRCLE = _sequence("circle", "transaction_type = 'TRANSFER'", "receiver_id, amount", 172800, "members >= 3")
 
+_DAY_CIRCLE = _sequence(
+    "daily", "transaction_type = 'TRANSFER'", 'receiver_id, amount, CAST("timestamp" AS DATE)', 86400, "members >= 2"
+)
+
+# Rounds of one amount that are six to eight days apart and have a quarter of their people in common.
+_TURNS = f"""{_DAY_CIRCLE},
+people AS (
+  SELECT DISTINCT receiver_id, amount, CAST("timestamp" AS DATE) AS day, unnest([sender_id, receiver_id]) AS member FROM daily_members
+),
+rounds AS (SELECT receiver_id, amount, day, count(*) AS n FROM people GROUP BY ALL),
+pairs AS (
+  SELECT a.receiver_id, a.amount, a.day, b.receiver_id AS earlier_receiver, b.day AS earlier_day,
+    (SELECT count(*) FROM people p JOIN people q USING (amount, member) WHERE p.receiver_id = a.receiver_id AND p.amount = a.amount
+     AND p.day = a.day AND q.receiver_id = b.receiver_id AND q.day = b.day) AS common, a.n + b.n AS ends
+  FROM rounds a JOIN rounds b ON a.amount = b.amount AND a.day - b.day BETWEEN 6 AND 8
+),
+followed AS (
+  SELECT * FROM pairs WHERE 100 * common >= 25 * (ends - common)
+  QUALIFY row_number() OVER (PARTITION BY receiver_id, amount, day
+    ORDER BY common / (ends - common) DESC, earlier_day DESC, earlier_receiver) = 1
+),
+climbed AS (
+  SELECT receiver_id, amount, day, earlier_receiver AS root_receiver, earlier_day AS root_day FROM followed
+  UNION ALL
+  SELECT c.receiver_id, c.amount, c.day, f.earlier_receiver, f.earlier_day FROM climbed c
+  JOIN followed f ON f.receiver_id = c.root_receiver AND f.amount = c.amount AND f.day = c.root_day
+),
+roots AS (
+  SELECT * FROM climbed QUALIFY row_number() OVER (PARTITION BY receiver_id, amount, day ORDER BY root_day) = 1
+),
+placed AS (
+  SELECT * FROM roots UNION SELECT root_receiver, amount, root_day, root_receiver, root_day FROM roots
+),
+circle_sizes AS (
+  SELECT root_receiver, amount, root_day, count(DISTINCT member) AS n_members
+  FROM placed JOIN people USING (receiver_id, amount, day) GROUP BY ALL
+),
+turns AS (
+  SELECT root_receiver AS first_beneficiary, root_day AS first_day, amount, row_number() OVER (PARTITION BY root_receiver, root_day, amount
+      ORDER BY day, receiver_id) AS turn, day, receiver_id AS beneficiary, n - 1 AS payers, n_members - n AS missing
+  FROM placed JOIN rounds USING (receiver_id, amount, day) JOIN circle_sizes USING (root_receiver, amount, root_day)
+)"""
+
 _OUTAGE = f"""SELECT operator, date_trunc('day', "timestamp")::TIMESTAMP AS window_start, count(*) AS n,
   count(*) FILTER (WHERE status = 'FAILED') AS failed,
   count(*) FILTER (WHERE status = 'FAILED' AND fees = 0) AS failed_without_fees,
@@ -589,6 +632,19 @@ def all_oracles() -> dict[str, str]:
         "stream_tontine_estimate": f"""SELECT receiver_id, amount, window_start, window_end, count(DISTINCT sender_id) AS members,
             true AS within_error FROM ({_windows("(SELECT * FROM tx WHERE transaction_type = 'TRANSFER')", '', 216000, 43200)})
             GROUP BY ALL HAVING count(DISTINCT sender_id) >= 3""",
+        "sketched_quantiles": """SELECT transaction_type, count(*) AS n, true AS p10, true AS p50, true AS p90
+            FROM tx WHERE amount IS NOT NULL GROUP BY ALL""",
+        "dated_range_breaks": """SELECT range_id, count(*) AS n, count(*) FILTER (WHERE amount < low) AS below,
+            count(*) FILTER (WHERE amount > high) AS above
+            FROM tx JOIN (SELECT transaction_type, sender_wilaya, CAST("timestamp" AS DATE) AS first_day, min(amount) AS low,
+                max(amount) AS high, CAST("timestamp" AS DATE) + CAST(count(*) % 20 AS INTEGER) AS last_day,
+                concat_ws('|', transaction_type, sender_wilaya, CAST(CAST("timestamp" AS DATE) AS VARCHAR)) AS range_id FROM tx GROUP BY ALL) r
+            ON tx.transaction_type = r.transaction_type AND tx.sender_wilaya = r.sender_wilaya
+            AND CAST(tx."timestamp" AS DATE) BETWEEN first_day AND last_day GROUP BY range_id""",
+        "dated_seasons": """SELECT CAST("timestamp" AS DATE) AS tx_date, bool_or(busy IS NOT NULL) AS in_season, count(DISTINCT i) AS n
+            FROM tx_i LEFT JOIN (SELECT busy FROM (SELECT CAST("timestamp" AS DATE) AS busy, count(*) AS n FROM tx GROUP BY ALL)
+                WHERE n > (SELECT avg(n) FROM (SELECT count(*) AS n FROM tx GROUP BY CAST("timestamp" AS DATE)))) s
+            ON CAST("timestamp" AS DATE) BETWEEN busy AND busy + 3 GROUP BY ALL""",
         "stream_sessions": _SESSIONS,
         "csv_round_trip": "SELECT * FROM tx",
         "json_round_trip": "SELECT * FROM tx",
@@ -619,6 +675,11 @@ def all_oracles() -> dict[str, str]:
             transaction_type, make_timestamp(first_sec * 1000000) AS first_time, frame_n AS n, sec - previous_sec AS gap_seconds
             FROM incoming_alerts a WHERE NOT EXISTS (SELECT 1 FROM circle_members c WHERE c.receiver_id = a.receiver_id
             AND c.amount = a.amount AND c.sec = a.sec AND a.transaction_type = 'TRANSFER')""",
+        "circle_turns": f""", RECURSIVE {_TURNS} SELECT first_beneficiary, first_day, amount, CAST(turn AS INTEGER) AS turn, day,
+            beneficiary, payers, missing FROM turns""",
+        "savings_circles": f""", RECURSIVE {_TURNS} SELECT first_beneficiary, first_day, amount, max(day) AS last_day, count(*) AS rounds,
+            max(payers + missing) + 1 AS people, string_agg(beneficiary, ',' ORDER BY turn) AS beneficiaries,
+            count(*) - count(DISTINCT beneficiary) AS repeated_turns, CAST(sum(missing) AS BIGINT) AS missing_payments FROM turns GROUP BY ALL""",
         "rule_label": f""", {_SPLIT}, {_BURST}, {_AMOUNT_FLAGS}, {_LABELLED}
             SELECT *, rule_label <> 'NONE' AS rule_flag FROM labelled""",
         "label_scorecard": f""", {_SPLIT}, {_BURST}, {_AMOUNT_FLAGS}, {_LABELLED} SELECT *,
@@ -638,9 +699,18 @@ def all_oracles() -> dict[str, str]:
         "text_canonical": f"""SELECT {_CANONICAL_TEXT_COLUMNS} FROM (
             SELECT *, {_MOMENT} AS moment, TRY_CAST(amount AS DECIMAL(38,10)) AS amt, TRY_CAST(fees AS DECIMAL(38,10)) AS fee FROM raw)""",
     }
+    chained["stream_published_routes"] = chained["stream_validate"]
+    chained["stream_exact_burst"] = chained["high_frequency"]
+    chained["stream_exact_split"] = chained["structuring"]
+    chained["stream_exact_tontine"] = chained["tontine"]
+    chained["stream_exact_suppressed"] = chained["tontine_suppressed"]
+    on_tx["incremental_profile"] = on_tx["profile_sets"]
     on_raw["text_csv_round_trip"] = on_raw["text_json_round_trip"] = on_raw["text_canonical"]
     found = {name: f"WITH {_EVENTS} {text}" for name, text in on_tx.items()}
-    found |= {name: f"WITH {_EVENTS}{text}" for name, text in chained.items()}
+    found |= {
+        name: f"WITH RECURSIVE {_EVENTS}{text.replace(', RECURSIVE', ',', 1)}" if text.startswith(", RECURSIVE") else f"WITH {_EVENTS}{text}"
+        for name, text in chained.items()
+    }
     found |= {
         name: f"WITH {_RAW}{text}" if text.startswith(",") else f"WITH {_RAW} {text}" for name, text in on_raw.items()
     }

@@ -8,10 +8,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from walletlens import contract, functions as fn
-from walletlens.operators import behaviour, detectors, labels, profile, validation
+from walletlens.operators import behaviour, circles, detectors, intervals, labels, profile, sketches, validation
 from walletlens.plans import report
+from walletlens.plans.incremental import ProfileState
 from walletlens.plans.session import prepare, prepare_stream
-from walletlens.sources import files
+from walletlens.sources import files, publish
 from walletlens.sources.event_log import (
     LOG_FIRST_DAY,
     LOG_LAST_DAY,
@@ -22,7 +23,7 @@ from walletlens.sources.event_log import (
     transactions_from_events,
 )
 from walletlens.sources.work import new_folder, settle
-from walletlens.streaming import operators as streams
+from walletlens.streaming import closed, operators as streams
 from walletlens.streaming.sinks import run_append, run_complete, run_update
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,8 @@ STRUCTURING = detectors.Structuring(seconds=10 * 86400, least_rows=2, variation=
 HIGH_FREQUENCY = detectors.HighFrequency(seconds=86400, least_rows=4)
 RECEIVER_BURST = detectors.HighFrequency(key=("receiver_id",), seconds=86400, least_rows=4)
 TONTINE = detectors.Tontine(seconds=48 * 3600, least_members=3, same_day=False)
+DAY_CIRCLE = detectors.Tontine(seconds=86400, least_members=2)
+ROTATION = circles.Rotation(similarity=25)
 OUTAGE = detectors.Outage(seconds=86400, least_rate=10.0)
 LIMITS = labels.Limits(STRUCTURING, HIGH_FREQUENCY, OUTAGE)
 # Cells of a row that the circle operators do not filter out.
@@ -210,6 +213,77 @@ def tontine_suppressed(tx: DataFrame) -> DataFrame:
     return detectors.without_tontines(detectors.high_frequency(tx, RECEIVER_BURST), tx, TONTINE)
 
 
+def _followed(watch: closed.Watch, label: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda tx: closed.run_closed(watch, closed.account_columns(tx), label)
+
+
+def incremental_profile(tx: DataFrame) -> DataFrame:
+    """Every reported distribution of a dated table that was loaded in three parts, each counted once.
+
+    The second load appends days, the third adds late rows to days that are there; rows without a
+    time come first.
+    """
+    spark = tx.sparkSession
+    path, state = new_folder(spark, "dated-loads"), ProfileState.new(spark)
+    is_early = F.coalesce(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), F.lit(True))
+    late = F.col("transaction_id").endswith("7") & is_early
+    for part in (is_early & ~late, ~is_early, late):
+        files.write_parquet(tx.filter(part), path, mode="append", by_date=True)
+        state.refresh(path)
+    return state.sets()
+
+
+def sketched_quantiles(tx: DataFrame) -> DataFrame:
+    """Rows of each type, and whether the sketched quantiles of its amounts have the wanted ranks within
+    twice the error that holds with 99 percent."""
+    wanted = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    stored = settle(sketches.day_sketches(tx, ["transaction_type"], "amount"), "sketches")
+    found = settle(sketches.quantiles_of(stored, ["transaction_type"], wanted), "quantiles")
+    rows = tx.filter("amount IS NOT NULL").select("transaction_type", F.col("amount").cast("double").alias("amount"))
+    both = rows.join(
+        found.withColumnRenamed("transaction_type", "kind"), F.col("transaction_type").eqNullSafe(F.col("kind"))
+    )
+    ranks = both.groupBy("transaction_type", "n").agg(
+        *[F.count_if(F.col("amount") < F.col(name)).alias(f"{name}_below") for name in wanted],
+        *[F.count_if(F.col("amount") <= F.col(name)).alias(f"{name}_upto") for name in wanted],
+    )
+    slack = F.lit(2 * sketches.rank_error()) * F.col("n") + 1
+    return ranks.select(
+        "transaction_type", "n",
+        *[
+            ((F.col(f"{name}_below") - slack <= part * F.col("n")) & (part * F.col("n") <= F.col(f"{name}_upto") + slack)).alias(name)
+            for name, part in wanted.items()
+        ],
+    )
+
+
+def dated_range_breaks(tx: DataFrame) -> DataFrame:
+    """Each day's range of amounts of a type and region, valid for up to 19 more days, against all rows."""
+    day = F.to_date("timestamp").alias("first_day")
+    ranges = tx.groupBy("transaction_type", "sender_wilaya", day).agg(
+        F.min("amount").alias("low"), F.max("amount").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    dated = ranges.withColumn("last_day", F.date_add("first_day", F.pmod("n", F.lit(20)).cast("int"))).withColumn(
+        "range_id", F.concat_ws("|", "transaction_type", "sender_wilaya", F.col("first_day").cast("string"))
+    )
+    return intervals.range_breaks(tx, dated)
+
+
+def dated_seasons(tx: DataFrame) -> DataFrame:
+    """Rows per day inside and outside of seasons from a table: each busy day and the next three."""
+    daily = settle(profile.daily_counts(tx), "days")
+    busy = daily.filter(F.col("n") > daily.agg(F.avg("n")).scalar())
+    seasons = busy.select(F.col("tx_date").alias("first_day"), F.date_add("tx_date", 3).alias("last_day"))
+    flagged = intervals.with_dated_season(tx.select("timestamp"), seasons)
+    return flagged.groupBy(F.to_date("timestamp").alias("tx_date"), "in_season").agg(F.count(F.lit(1)).alias("n"))
+
+
+def published_stream_routes(df: DataFrame) -> DataFrame:
+    """Rows of both sinks of a stream that publishes them together."""
+    publication = publish.publish_routes(df, new_folder(df.sparkSession, "publish"))
+    return _as_text(publish.published_routes(publication, validation.with_route(df).schema))
+
+
 def label_scorecard(tx: DataFrame) -> DataFrame:
     return labels.label_scorecard(labels.rule_label(tx, LIMITS))
 
@@ -304,6 +378,12 @@ def all_queries() -> dict[str, Query]:
         "rule_label": lambda tx: labels.rule_label(tx, LIMITS).select(
             "transaction_id", "timestamp", "anomaly_type", "rule_label", "rule_flag"
         ),
+        "sketched_quantiles": sketched_quantiles,
+        "dated_range_breaks": dated_range_breaks,
+        "dated_seasons": dated_seasons,
+        "circle_turns": lambda tx: circles.circle_turns(tx, DAY_CIRCLE, ROTATION),
+        "savings_circles": lambda tx: circles.savings_circles(tx, DAY_CIRCLE, ROTATION),
+        "incremental_profile": incremental_profile,
         "label_scorecard": label_scorecard,
         "alerted_account_rows": alerted_account_rows,
     }
@@ -333,6 +413,12 @@ def all_queries() -> dict[str, Query]:
         "stream_tontine": lambda tx: run_complete(
             lambda rows: streams.stream_tontine(rows, TONTINE, "60 hours", "12 hours"), tx, "stream-tontine", A_TRANSFER
         ),
+        "stream_exact_burst": _followed(closed.bursts(HIGH_FREQUENCY), "stream-exact-burst"),
+        "stream_exact_split": _followed(closed.split_payments(STRUCTURING), "stream-exact-split"),
+        "stream_exact_tontine": _followed(closed.circles(TONTINE), "stream-exact-tontine"),
+        "stream_exact_suppressed": _followed(
+            closed.unexplained_bursts(RECEIVER_BURST, TONTINE), "stream-exact-suppressed"
+        ),
         "stream_sessions": lambda tx: run_complete(streams.stream_sessions, tx, "stream-sessions"),
     }
     found = {name: _on_tx(operator) for name, operator in on_tx.items()}
@@ -340,6 +426,7 @@ def all_queries() -> dict[str, Query]:
     found |= {name: _on_stream(run) for name, run in on_stream.items()}
     found["stream_dedup"] = stream_dedup
     found["stream_tontine_estimate"] = tontine_estimate_check
+    found["stream_published_routes"] = _on_stream(published_stream_routes)
     found["stream_validate"] = _on_stream(quarantine_stream)
     found["text_stream_validate"] = _on_stream(quarantine_stream, raw=True)
     found["csv_round_trip"] = _round_trip(".csv")

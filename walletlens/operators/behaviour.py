@@ -21,7 +21,7 @@ from walletlens.functions import (
     percent,
     tx_date,
 )
-from walletlens.operators.profile import daily_counts, distributions, with_share
+from walletlens.operators.profile import distributions, with_share
 from walletlens.operators.quantiles import exact_quantiles
 from walletlens.sources import dimensions
 from walletlens.sources.work import settle
@@ -87,12 +87,13 @@ def seasonal_expectation(
 
     One more row, without a day, counts the rows outside the calendar and those without a time.
     The running weight is taken over the calendar, which has one row per day, not over
-    transactions.
+    transactions. The rows of each day are counted once, in one scan, and written first.
     """
+    counted = settle(tx.groupBy(F.to_date("timestamp").alias("tx_date")).agg(_n("n")), "daily-counts")
     days = dimensions.calendar(tx.sparkSession, first, last, seasons)
     upto = Window.orderBy("tx_date").rowsBetween(Window.unboundedPreceding, 0)
     expected = days.withColumn("running_weight", F.sum("weight").over(upto))
-    joined = expected.join(daily_counts(tx), "tx_date", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    joined = expected.join(counted, "tx_date", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     whole = Window.partitionBy()
     weight, running = F.col("weight").cast("double"), F.col("running_weight").cast("double")
     total, rows = F.sum("weight").over(whole).cast("double"), F.sum("n").over(whole)
@@ -104,8 +105,8 @@ def seasonal_expectation(
         F.col("n").alias("observed_rows"),
         guarded_ratio(F.col("n") * total, weight * rows).alias("observed_to_expected"),
     )
-    within = F.coalesce(F.to_date("timestamp").between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
-    outside = tx.agg(F.count_if(~within).alias("observed_rows"))
+    within = F.coalesce(F.col("tx_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
+    outside = counted.agg(F.coalesce(F.sum(F.when(~within, F.col("n"))), F.lit(0)).alias("observed_rows"))
     return inside.unionByName(outside, allowMissingColumns=True)
 
 
@@ -383,11 +384,14 @@ def diaspora_flow(tx: DataFrame) -> DataFrame:
 
 
 def corridors(tx: DataFrame) -> DataFrame:
-    """Rows, value and share per sending and receiving region."""
+    """Rows, value and share per sending and receiving region.
+
+    The flows are few and are written first, so their total costs no second scan of the table.
+    """
     flows = tx.groupBy("sender_wilaya", "receiver_wilaya").agg(
         _n("n"), F.sum("amount").cast("decimal(38,2)").alias("amount")
     )
-    return with_share(flows)
+    return with_share(settle(flows, "flows"))
 
 
 def corridor_matrix(tx: DataFrame) -> DataFrame:

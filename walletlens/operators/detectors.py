@@ -92,9 +92,14 @@ def type_medians(tx: DataFrame) -> DataFrame:
     )
 
 
-def with_amount_flags(tx: DataFrame, factor: float = HIGH_AMOUNT_FACTOR) -> DataFrame:
-    """Add range_key, low, high, median_amount, above_range and above_median."""
-    medians = F.broadcast(type_medians(tx))
+def with_amount_flags(
+    tx: DataFrame, factor: float = HIGH_AMOUNT_FACTOR, medians: DataFrame | None = None
+) -> DataFrame:
+    """Add range_key, low, high, median_amount, above_range and above_median.
+
+    ``medians`` has a row per type, from stored sketches for instance; without it they are exact.
+    """
+    medians = F.broadcast(type_medians(tx) if medians is None else medians)
     rows = with_range(tx).join(medians, "transaction_type", "left")
     return rows.withColumns(
         {
@@ -106,14 +111,14 @@ def with_amount_flags(tx: DataFrame, factor: float = HIGH_AMOUNT_FACTOR) -> Data
     )
 
 
-def high_amount(tx: DataFrame, factor: float = HIGH_AMOUNT_FACTOR) -> DataFrame:
+def high_amount(tx: DataFrame, factor: float = HIGH_AMOUNT_FACTOR, medians: DataFrame | None = None) -> DataFrame:
     """Rows above the usual range of their type, or at ``factor`` times its median or more.
 
     A large multiple of a small payment stays inside the usual range and cannot be seen
     from its amount.
     """
     columns = ["transaction_id", "transaction_type", "bill_provider", "origin_country", "amount"]
-    flagged = with_amount_flags(tx.select(*columns), factor).filter("above_range OR above_median")
+    flagged = with_amount_flags(tx.select(*columns), factor, medians).filter("above_range OR above_median")
     return flagged.select(
         "transaction_id",
         "transaction_type",
