@@ -636,9 +636,10 @@ def all_oracles() -> dict[str, str]:
             FROM tx WHERE amount IS NOT NULL GROUP BY ALL""",
         "dated_range_breaks": """SELECT range_id, count(*) AS n, count(*) FILTER (WHERE amount < low) AS below,
             count(*) FILTER (WHERE amount > high) AS above
-            FROM tx JOIN (SELECT transaction_type, sender_wilaya, CAST("timestamp" AS DATE) AS first_day, min(amount) AS low,
-                max(amount) AS high, CAST("timestamp" AS DATE) + CAST(count(*) % 20 AS INTEGER) AS last_day,
-                concat_ws('|', transaction_type, sender_wilaya, CAST(CAST("timestamp" AS DATE) AS VARCHAR)) AS range_id FROM tx GROUP BY ALL) r
+            FROM tx JOIN (SELECT transaction_type, sender_wilaya, first_day, low, high, first_day + CAST(rows % 20 AS INTEGER) AS last_day,
+                concat_ws('|', transaction_type, sender_wilaya, CAST(first_day AS VARCHAR)) AS range_id
+                FROM (SELECT transaction_type, sender_wilaya, CAST("timestamp" AS DATE) AS first_day, min(amount) AS low,
+                    max(amount) AS high, count(*) AS rows FROM tx GROUP BY ALL)) r
             ON tx.transaction_type = r.transaction_type AND tx.sender_wilaya = r.sender_wilaya
             AND CAST(tx."timestamp" AS DATE) BETWEEN first_day AND last_day GROUP BY range_id""",
         "dated_seasons": """SELECT CAST("timestamp" AS DATE) AS tx_date, bool_or(busy IS NOT NULL) AS in_season, count(DISTINCT i) AS n
