@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import date, timedelta
 
@@ -13,6 +14,7 @@ from test_follow import rows_of, stream_of
 from test_plans import final_plan, plan
 from walletlens.operators import detectors, intervals, sketches, validation
 from walletlens.operators.quantiles import exact_quantiles
+from walletlens.sources import files
 from walletlens.sources.event_log import load_transactions
 from walletlens.sources.publish import Publication, publish_routes, published_routes
 from walletlens.sources.work import new_folder, settle
@@ -122,6 +124,49 @@ def test_seasons_of_a_table(spark):
     assert sorted(flags, key=repr) == sorted([("2026-02-16", False), ("2026-02-17", True), ("2027-02-08", True), (None, False)], key=repr)
 
 
+# JSON arrays
+
+
+def odd_objects(chance, count):
+    """Objects with brackets, quotes and escapes in their texts, and nested values."""
+    signs = ["{", "}", "[", "]", '"', "\\", ",", "\n", "é", "\u2028", "x", "\\\"}", "/"]
+    text = lambda: "".join(chance.choice(signs) for _ in range(chance.randrange(12)))
+    return [
+        {"id": str(number), "a": text(), "b": chance.choice([None, 1.5, True, text()]), "c": chance.choice([{"d": text(), "e": [text(), {}]}, [], text()])}
+        for number in range(count)
+    ]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_an_array_file_is_read_by_many_tasks(spark, tmp_path, indent):
+    objects = odd_objects(random.Random(indent), 400)
+    for number, part in enumerate((objects[:397], objects[397:], [])):
+        (tmp_path / f"{number}.json").write_text(json.dumps(part, indent=indent, ensure_ascii=number == 0), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        pieces = spark.read.option("lineSep", "}").text(str(tmp_path))
+        assert pieces.rdd.getNumPartitions() > 10
+        rows = files.read_json(spark, str(tmp_path), array=True, columns=["id", "a", "b", "c", "none"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = spark.read.option("multiLine", True).schema("id string, a string, b string, c string, none string").json(str(tmp_path))
+    flat = lambda found: sorted(((int(row.id), row.a, row.b, row.none) for row in found), key=lambda row: row[0])
+    assert len(rows) == 400 and [row[:2] for row in flat(rows)] == [(int(made["id"]), made["a"]) for made in objects]
+    assert repr(flat(rows)) == repr(flat(whole.collect()))
+    # Nested values are given as compact text.
+    nested = {row.id: row.c for row in rows}
+    assert all(nested[made["id"]] == made["c"] if isinstance(made["c"], str) else json.loads(nested[made["id"]]) == made["c"] for made in objects)
+
+
+@pytest.mark.parametrize("text", ['[{"a": "1"}', '[{"a": "1"}, 5]', '[{"a": "1"', '[{"a": "}', '[{"a": "1"}] x', '[{"a": "1"}]]', '["x", {"a": "1"}]'])
+def test_broken_arrays_are_errors(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception):
+        files.read_json(spark, str(tmp_path / "a.json"), array=True, columns=["a"]).collect()
+
+
 # Publication
 
 

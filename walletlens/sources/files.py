@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from walletlens import contract
+from walletlens.sources.json_arrays import read_json_array
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
@@ -40,11 +41,13 @@ def read_json(
 
     Without ``columns`` Spark reads all data once more to find the columns. Large sources
     should name them; a named column that no object has is then null, not missing. A file
-    with an array cannot be split and should be rewritten as lines or Parquet first.
+    with an array is then read by many tasks; without ``columns`` it is one task.
     """
     if array is None:
         first = spark.read.text(path).where(F.col("value").rlike(r"\S")).first()
         array = first is not None and first[0].lstrip("\ufeff \t").startswith("[")
+    if array and columns is not None:
+        return read_json_array(spark, path, columns)
     reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
     if columns is None:
         return reader.option("primitivesAsString", True).json(path)
