@@ -324,9 +324,11 @@ def without_tontines(alerts: DataFrame, tx: DataFrame, limits: Tontine = Tontine
     """Alert rows that are no payment of a savings circle, which is normal behaviour.
 
     ``alerts`` has timestamp, receiver_id and amount, and transaction_type where it holds
-    more than transfers.
+    more than transfers. Circles are looked for only where an alert has their receiver and amount.
     """
-    circles = settle(tontine_seconds(tx, limits), "circles")
+    alerts = settle(alerts, "alerts")
+    wanted = alerts.select(*_TONTINE_KEY).distinct()
+    circles = settle(tontine_seconds(tx.join(wanted, list(_TONTINE_KEY), "left_semi"), limits), "circles")
     rows = alerts.withColumn("sec", F.unix_seconds("timestamp"))
     keys = [*_TONTINE_KEY, "sec"]
     if "transaction_type" in alerts.columns:
