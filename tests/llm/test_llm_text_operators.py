@@ -70,6 +70,36 @@ def library_ids(text):
 # Token counts
 
 
+SCRIPTS = "aZ 09'\n\t\u00e9\u0153\u2019\u2014\u0416\u0438\u05d0\u0639\u4e2d\u6587\u3042\u30ab\uac00\u0e01\u0915\u094d\U0001f600\u0301\u0323\u0130\u03a3\u03c3\u1e9e\u00a0\u2003\u3000\u0085\x0b\x0c\x1c\u200b\ufb01\u1100\u1161<|>"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=SCRIPTS, max_size=60) | st.text(max_size=40), st.sampled_from(["", "<|endoftext|>", " <|startoftext|> ", "\u0301"]))
+def test_words_of_any_script_are_the_librarys(text, between):
+    text = f"{text}{between}{text[::-1]}"
+    ids = np.frombuffer(token_counts.word_tokens(token_counts.vocabulary_path()).ids(text), "<u4")
+    assert ids.tolist() == library_ids(text)
+
+
+def test_odd_words_alone_go_to_the_library(monkeypatch):
+    tokens = token_counts.WordTokens(token_counts.vocabulary_path())
+    asked = []
+    library = tokens.library
+
+    class Noted:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **more)
+
+    tokens.library = Noted()
+    text = "it\u2019s a plain text with one \u0153uvre and it\u2019s plain again <|endoftext|>"
+    assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library_ids(text)
+    assert sorted(asked) == sorted(["it\u2019s", "\u0153uvre", "<|endoftext|>"])
+    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    for part in (text, "\u4e2d \u6587 \u3042", text):
+        assert np.frombuffer(tokens.ids(part), "<u4").tolist() == library_ids(part)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcXYZ 'éß×÷ÿ\n\t12!?|<>&;sdtmrvlÀµİ\x0b\x85中é ", max_size=40), st.booleans())
 def test_ids_are_the_librarys(text, special):

@@ -5,9 +5,10 @@ pairs inside each pre-token, so the tokens of a text are the tokens of its white
 a row. ``whole_tokens`` proves, once for each vocabulary string, that the string alone encodes as
 exactly one token. A pre-token in that table costs one look-up; only the rest is merged.
 
-Two forms of text go to the library as a whole: one with a character outside the set for which
-lower-casing and normalization are known to act on single characters, and one with ``<|``, which
-may hold a special string. Both give what the library gives by definition.
+Two forms of words go to the library: one with a character outside the set for which lower-casing and
+normalization are known to act on single characters, and one with ``<|``, which may hold a special
+string. Normalization, pre-tokens and special strings never go over a blank, a tab or a line end, so
+words stand for themselves whatever is around them, and all others of a text keep the shortcut.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ REMEMBERED = 500_000
 # letters and two signs from U+00C0 to U+00FF. All are below U+0300, hence already composed.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÿ]*")
 
+# What words are cut at where a text holds other characters.
+BLANKS = re.compile("[\t\n\r ]+")
+
 # The pre-token pattern of the vocabulary file, on lower-case plain text without white space.
 PRE_TOKEN = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+"
@@ -66,6 +70,7 @@ class WordTokens(dict):
         self.letters = str.maketrans({chr(value): letter for letter, value in _byte_letters().items()})
         self.whole = whole_tokens(self.library)
         self.update(self.whole)
+        self.remembered: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -84,9 +89,22 @@ class WordTokens(dict):
         """Packed ids of a text; a null text has none."""
         if not text:
             return b""
-        if PLAIN.fullmatch(text) is None or "<|" in text:
-            return packed(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        words = [word for word in BLANKS.split(text) if word]
+        odd = self._odd({word for word in words if "<|" in word or PLAIN.fullmatch(word) is None})
+        return b"".join([odd[word] if word in odd else self[word.lower()] for word in words])
+
+    def _odd(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of words by the library, the new ones at once."""
+        known = {word: self.remembered[word] for word in words if word in self.remembered}
+        new = [word for word in words if word not in known]
+        for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            known[word] = packed(encoded.ids)
+        if len(self.remembered) + len(new) >= REMEMBERED:
+            self.remembered.clear()
+        self.remembered.update(known)
+        return known
 
 
 def whole_tokens(library: Tokenizer) -> dict[str, bytes]:
