@@ -6,13 +6,10 @@ import random
 import re
 from collections import Counter
 
-import duckdb
 import pytest
-from conftest import SMALL
 from hypothesis import given, settings, strategies as st
 
-from walletlens.checks.compare import _rows
-from walletlens.llm import leak_automaton, periodic_runs, registry, spelling_variants
+from walletlens.llm import leak_automaton, periodic_runs, spelling_variants
 from walletlens.sources.work import settle
 
 SCHEMA = "doc_id long, text string, n_words long, runs string, `_file` string, `a.b` int, word string, n string"
@@ -29,16 +26,6 @@ def table_of(spark, rows, schema=SCHEMA, label="fixture"):
     return settle(spark.createDataFrame([(*row, *[None] * (width - len(row))) for row in rows], schema), label)
 
 
-@pytest.mark.parametrize("name", ["op11_suffix_automaton", "op12_sparse_diagonals", "op13_bloom_neighbours"])
-def test_equal_sql(spark, name):
-    con = duckdb.connect()
-    for kind in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {kind} AS SELECT * FROM '{SMALL}/{kind}.parquet'")
-    cursor = con.execute(registry.SQL[name])
-    found = registry.QUERIES[name](spark, SMALL)
-    assert _rows(found.columns, found.collect()) == _rows([column[0] for column in cursor.description], cursor.fetchall())
-
-
 # Leaks
 
 
