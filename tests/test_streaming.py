@@ -98,6 +98,37 @@ def test_circle_members_are_counted_once(spark):
     assert estimated.agg(F.max("members")).first()[0] == 11
 
 
+def test_a_window_of_few_payers_has_a_small_state(spark):
+    rows = [{"timestamp": at(0), "amount": f"{number + 1}.00", "sender_id": f"ACC_{number % 7:05d}"} for number in range(2000)]
+    estimates = s.stream_tontine_estimate(stream_of(spark, rows), d.Tontine(least_members=1), "10 minutes")
+    query = (
+        estimates.writeStream.format("noop").outputMode("update")
+        .option("checkpointLocation", new_folder(spark, "payer-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    states = [progress["stateOperators"][0] for progress in query.recentProgress]
+    assert max(state["numRowsTotal"] for state in states) == 2000
+    assert max(state["memoryUsedBytes"] for state in states) < 2000 * 1000
+
+
+def test_payers_are_estimated_at_every_size(spark):
+    sizes = (1, 2, 16, 300, 3000)
+    rows = [
+        {"timestamp": at(number % 600), "amount": f"{size}.00", "sender_id": f"ACC_{number:05d}"}
+        for size in sizes
+        for number in list(range(size)) * 2
+    ]
+    unnamed = [{"timestamp": at(0), "amount": "7.00", "sender_id": name} for name in (None, "", "", "ACC_00001")]
+    nobody = [{"timestamp": at(0), "amount": "8.00", "sender_id": None}]
+    # Halves of the rows come in different batches, so sketches of state and batch are merged.
+    parts = rows[::2] + unnamed[:2] + nobody, rows[1::2] + unnamed[2:]
+    keys = ["receiver_id", "amount", "window_start", "window_end"]
+    estimates = s.stream_tontine_estimate(stream_of(spark, *parts), d.Tontine(least_members=0), "10 minutes")
+    members = {int(row.amount): row.members for row in run_update(estimates, "payers", keys).collect()}
+    assert {size: members[size] for size in (1, 2, 16, 300, 7, 8)} == {1: 1, 2: 2, 16: 16, 300: 300, 7: 2, 8: 0}
+    assert abs(members[3000] - 3000) < 300
+
+
 def test_sessions_close_by_gap(spark):
     first = [{"timestamp": at(offset)} for offset in (0, 60, 500)]
     second = [{"timestamp": at(offset)} for offset in (1000, 5000)] + [{"timestamp": at(86400)}]

@@ -23,6 +23,9 @@ from walletlens.operators.validation import with_route
 # Fixed value: the span of a savings circle, the longest behaviour that is watched.
 LATENESS = "2 hours"
 
+# Fixed value: 4096 registers, a relative standard error of 1.6 percent. Up to 383 payers a sketch keeps their hashes.
+PAYER_REGISTERS = 12
+
 
 def stream_validate(tx: DataFrame) -> DataFrame:
     """Stateless row check with a route per row."""
@@ -122,12 +125,17 @@ def stream_tontine_estimate(
     slide: str = "10 minutes",
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """As ``stream_tontine`` with an estimated number of payers, available before a window closes."""
+    """As ``stream_tontine`` with an estimated number of payers, available before a window closes.
+
+    Most windows have few payers. Their sketches are small and grow with the payers; those of
+    ``approx_count_distinct`` are of full size, 3.3 kB, from the first payer on. An empty name is a payer, too.
+    """
     rows = _windowed(
         tx.filter(transfers()), lateness
     )
+    payer = F.when(F.col("sender_id").isNotNull(), F.xxhash64("sender_id"))
     circles = rows.groupBy(F.window("timestamp", length, slide).alias("frame"), "receiver_id", "amount").agg(
-        F.approx_count_distinct("sender_id", 0.02).alias("members")
+        F.hll_sketch_estimate(F.hll_sketch_agg(payer, PAYER_REGISTERS)).alias("members")
     )
     return circles.filter(F.col("members") >= limits.least_members).select(
         "receiver_id", "amount", *_bounds(), "members"
